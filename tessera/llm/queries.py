@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op5_bpe
+from tessera.llm.langid import op10_langid
+from tessera.llm.lattice_lm import op2_lattice_lm
+from tessera.llm.mixing import ORACLE as MIXING_SQL
+from tessera.llm.mixing import op8_mixing
+from tessera.llm.quality import op3_quality
 from tessera.llm.simhash import op9_simhash
 
 
 def queries():
-    return {"op5_bpe": op5_bpe, "op9_simhash": op9_simhash}
+    """Name → callable of (spark, sf_dir)."""
+    return {f.__name__: f for f in (op2_lattice_lm, op3_quality, op5_bpe, op8_mixing, op9_simhash, op10_langid)}
 
 
 def oracle_sql():
-    return {}
+    """Name → SQL, for the queries that SQL can express."""
+    return {"op8_mixing": MIXING_SQL}
