@@ -55,9 +55,16 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _loaded() -> None:
+    """Registration happens when the modules of queries are imported."""
+    from tessera.plans import elementwise  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _loaded()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _loaded()
     return dict(_ORACLES)
