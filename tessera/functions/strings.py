@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from tessera.functions.ufuncs import col
 
@@ -32,7 +33,7 @@ def isupper(s):
     return (col(s) == F.upper(col(s))) & (col(s) != F.lower(col(s)))
 
 
-def _text(f, kind: str):
+def _text(f, kind):
     """A Python rule for which Spark has no exact counterpart, Arrow batches at a time."""
 
     @F.pandas_udf(kind)
@@ -42,9 +43,9 @@ def _text(f, kind: str):
     return lambda s: apply(col(s))
 
 
-istitle = _text(str.istitle, "boolean")
-title = _text(str.title, "string")
-swapcase = _text(str.swapcase, "string")
+istitle = _text(str.istitle, BooleanType())
+title = _text(str.title, StringType())
+swapcase = _text(str.swapcase, StringType())
 
 
 def str_len(s):

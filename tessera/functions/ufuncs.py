@@ -15,8 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
+NAN, INF = float("nan"), float("inf")
 
 
 def col(x) -> Column:
@@ -427,7 +428,7 @@ def modf(a):
     return F.struct(part.alias("fraction"), whole.alias("whole"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _nextafter(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(a.to_numpy(float), b.to_numpy(float)))
 
@@ -437,7 +438,7 @@ def nextafter(a, b):
     return _nextafter(_d(a), _d(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _spacing(a: pd.Series) -> pd.Series:
     return pd.Series(np.spacing(a.to_numpy(float)))
 

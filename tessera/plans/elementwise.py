@@ -35,56 +35,52 @@ def family(name: str, columns: dict, digits: int = 9) -> None:
     register(name, f"SELECT k, {', '.join(parts)} {_FROM}")(run)
 
 
-def _c(f, *args):
-    return lambda: f(*args)
-
-
 family("ufunc_arithmetic", {
-    "f_add": (_c(U.add, "x", "y"), "x + y", True), "f_subtract": (_c(U.subtract, "x", "y"), "x - y", True), "f_multiply": (_c(U.multiply, "x", "y"), "x * y", True),
-    "f_divide": (_c(U.nan_to_num, U.divide(F.col("x"), F.col("y")), 0.0, 9e9, -9e9), "CASE WHEN y = 0 THEN CASE WHEN x > 0 THEN 9e9 WHEN x < 0 THEN -9e9 ELSE 0 END ELSE x / y END", True),
-    "f_floor_divide": (_c(U.floor_divide_int, "a", "b"), "CASE WHEN b = 0 THEN 0 ELSE CAST(floor(a / b) AS BIGINT) END", False),
-    "f_remainder": (_c(U.nan_to_num, U.remainder(F.col("a"), F.col("b"))), "CASE WHEN b = 0 THEN 0 ELSE CAST(a - floor(a / b) * b AS DOUBLE) END", True),
-    "f_fmod": (_c(U.nan_to_num, U.fmod(F.col("a"), F.col("b"))), "CASE WHEN b = 0 THEN 0.0 ELSE CAST(a % b AS DOUBLE) END", True),
+    "f_add": ((lambda: U.add("x", "y")), "x + y", True), "f_subtract": ((lambda: U.subtract("x", "y")), "x - y", True), "f_multiply": ((lambda: U.multiply("x", "y")), "x * y", True),
+    "f_divide": ((lambda: U.nan_to_num(U.divide(F.col("x"), F.col("y")), 0.0, 9e9, -9e9)), "CASE WHEN y = 0 THEN CASE WHEN x > 0 THEN 9e9 WHEN x < 0 THEN -9e9 ELSE 0 END ELSE x / y END", True),
+    "f_floor_divide": ((lambda: U.floor_divide_int("a", "b")), "CASE WHEN b = 0 THEN 0 ELSE CAST(floor(a / b) AS BIGINT) END", False),
+    "f_remainder": ((lambda: U.nan_to_num(U.remainder(F.col("a"), F.col("b")))), "CASE WHEN b = 0 THEN 0 ELSE CAST(a - floor(a / b) * b AS DOUBLE) END", True),
+    "f_fmod": ((lambda: U.nan_to_num(U.fmod(F.col("a"), F.col("b")))), "CASE WHEN b = 0 THEN 0.0 ELSE CAST(a % b AS DOUBLE) END", True),
     "f_divmod_q": (lambda: U.nan_to_num(U.divmod_("x", F.lit(0.3))["quotient"]), "floor(x / 0.3::DOUBLE)", True),
-    "f_power": (_c(U.power, "y", F.lit(3)), "pow(y, 3)", True), "f_negative": (_c(U.negative, "x"), "-x", True), "f_positive": (_c(U.positive, "x"), "x", True),
-    "f_absolute": (_c(U.absolute, "x"), "abs(x)", True), "f_fabs": (_c(U.fabs, "a"), "CAST(abs(a) AS DOUBLE)", True), "f_sign": (_c(U.sign, "y"), "CAST(sign(y) AS DOUBLE)", True),
-    "f_copysign": (_c(U.copysign, "x", "y"), "CASE WHEN y < 0 THEN -abs(x) ELSE abs(x) END", True), "f_square": (_c(U.square, "x"), "x * x", True),
-    "f_reciprocal": (_c(U.nan_to_num, U.reciprocal("y"), 0.0, 1e9), "CASE WHEN y = 0 THEN 1e9 ELSE 1 / y END", True), "f_sqrt": (lambda: U.sqrt(U.absolute("x")), "sqrt(abs(x))", True),
-    "f_cbrt": (_c(U.cbrt, "x"), "cbrt(x)", True), "f_hypot": (_c(U.hypot, "x", "y"), "sqrt(x * x + y * y)", True), "f_heaviside": (_c(U.heaviside, "y", F.lit(0.5)), "CASE WHEN y < 0 THEN 0.0 WHEN y = 0 THEN 0.5 ELSE 1.0 END::DOUBLE", True),
+    "f_power": ((lambda: U.power("y", F.lit(3))), "pow(y, 3)", True), "f_negative": ((lambda: U.negative("x")), "-x", True), "f_positive": ((lambda: U.positive("x")), "x", True),
+    "f_absolute": ((lambda: U.absolute("x")), "abs(x)", True), "f_fabs": ((lambda: U.fabs("a")), "CAST(abs(a) AS DOUBLE)", True), "f_sign": ((lambda: U.sign("y")), "CAST(sign(y) AS DOUBLE)", True),
+    "f_copysign": ((lambda: U.copysign("x", "y")), "CASE WHEN y < 0 THEN -abs(x) ELSE abs(x) END", True), "f_square": ((lambda: U.square("x")), "x * x", True),
+    "f_reciprocal": ((lambda: U.nan_to_num(U.reciprocal("y"), 0.0, 1e9)), "CASE WHEN y = 0 THEN 1e9 ELSE 1 / y END", True), "f_sqrt": (lambda: U.sqrt(U.absolute("x")), "sqrt(abs(x))", True),
+    "f_cbrt": ((lambda: U.cbrt("x")), "cbrt(x)", True), "f_hypot": ((lambda: U.hypot("x", "y")), "sqrt(x * x + y * y)", True), "f_heaviside": ((lambda: U.heaviside("y", F.lit(0.5))), "CASE WHEN y < 0 THEN 0.0 WHEN y = 0 THEN 0.5 ELSE 1.0 END::DOUBLE", True),
 })
 
 family("ufunc_compare", {
-    "f_maximum": (_c(U.maximum, "x", "y"), "greatest(x, y)", True), "f_minimum": (_c(U.minimum, "x", "y"), "least(x, y)", True), "f_fmax": (_c(U.fmax, "x", "y"), "greatest(x, y)", True), "f_fmin": (_c(U.fmin, "x", "y"), "least(x, y)", True),
-    "f_greater": (_c(U.greater, "x", "y"), "x > y", False), "f_greater_equal": (_c(U.greater_equal, "a", "b"), "a >= b", False), "f_less": (_c(U.less, "x", "y"), "x < y", False), "f_less_equal": (_c(U.less_equal, "a", "b"), "a <= b", False),
-    "f_equal": (_c(U.equal, "y", "b"), "y = b", False), "f_not_equal": (_c(U.not_equal, "y", "b"), "y <> b", False), "f_logical_and": (_c(U.logical_and, "y", "b"), "y <> 0 AND b <> 0", False), "f_logical_or": (_c(U.logical_or, "y", "b"), "y <> 0 OR b <> 0", False),
-    "f_logical_xor": (_c(U.logical_xor, "y", "b"), "(y <> 0) <> (b <> 0)", False), "f_logical_not": (_c(U.logical_not, "b"), "b = 0", False), "f_clip": (_c(U.clip, "x", F.lit(-1.0), F.lit(1.0)), "least(greatest(x, -1.0), 1.0)", True),
-    "f_isclose": (_c(U.isclose, "y", "b"), "abs(y - b) <= 1e-8 + 1e-5 * abs(b)", False), "f_where": (_c(U.where, F.col("y") > 0, "x", "y"), "CASE WHEN y > 0 THEN x ELSE y END", True),
+    "f_maximum": ((lambda: U.maximum("x", "y")), "greatest(x, y)", True), "f_minimum": ((lambda: U.minimum("x", "y")), "least(x, y)", True), "f_fmax": ((lambda: U.fmax("x", "y")), "greatest(x, y)", True), "f_fmin": ((lambda: U.fmin("x", "y")), "least(x, y)", True),
+    "f_greater": ((lambda: U.greater("x", "y")), "x > y", False), "f_greater_equal": ((lambda: U.greater_equal("a", "b")), "a >= b", False), "f_less": ((lambda: U.less("x", "y")), "x < y", False), "f_less_equal": ((lambda: U.less_equal("a", "b")), "a <= b", False),
+    "f_equal": ((lambda: U.equal("y", "b")), "y = b", False), "f_not_equal": ((lambda: U.not_equal("y", "b")), "y <> b", False), "f_logical_and": ((lambda: U.logical_and("y", "b")), "y <> 0 AND b <> 0", False), "f_logical_or": ((lambda: U.logical_or("y", "b")), "y <> 0 OR b <> 0", False),
+    "f_logical_xor": ((lambda: U.logical_xor("y", "b")), "(y <> 0) <> (b <> 0)", False), "f_logical_not": ((lambda: U.logical_not("b")), "b = 0", False), "f_clip": ((lambda: U.clip("x", F.lit(-1.0), F.lit(1.0))), "least(greatest(x, -1.0), 1.0)", True),
+    "f_isclose": ((lambda: U.isclose("y", "b")), "abs(y - b) <= 1e-8 + 1e-5 * abs(b)", False), "f_where": ((lambda: U.where(F.col("y") > 0, "x", "y")), "CASE WHEN y > 0 THEN x ELSE y END", True),
     "f_select": (lambda: U.select([F.col("b") > 2, F.col("b") < -2], [F.col("a"), -F.col("a")], F.lit(0)), "CASE WHEN b > 2 THEN a WHEN b < -2 THEN -a ELSE 0 END", False),
 })
 
 family("ufunc_bits", {
-    "f_bitwise_and": (_c(U.bitwise_and, "a", "b"), "a & b", False), "f_bitwise_or": (_c(U.bitwise_or, "a", "b"), "a | b", False), "f_bitwise_xor": (_c(U.bitwise_xor, "a", "b"), "xor(a, b)", False), "f_invert": (_c(U.invert, "a"), "~a", False),
+    "f_bitwise_and": ((lambda: U.bitwise_and("a", "b")), "a & b", False), "f_bitwise_or": ((lambda: U.bitwise_or("a", "b")), "a | b", False), "f_bitwise_xor": ((lambda: U.bitwise_xor("a", "b")), "xor(a, b)", False), "f_invert": ((lambda: U.invert("a")), "~a", False),
     "f_left_shift": (lambda: U.left_shift(F.abs(F.col("a")), F.abs(F.col("b"))), "abs(a) * CAST(pow(2, abs(b)) AS BIGINT)", False), "f_right_shift": (lambda: U.right_shift("a", F.abs(F.col("b"))), "a >> CAST(abs(b) AS BIGINT)", False),
-    "f_bitwise_count": (_c(U.bitwise_count, "a"), "CAST(bit_count(abs(a)) AS INTEGER)", False), "f_gcd": (_c(U.gcd, "a", "b"), "gcd(a, b)", False), "f_lcm": (_c(U.lcm, "a", "b"), "lcm(a, b)", False),
+    "f_bitwise_count": ((lambda: U.bitwise_count("a")), "CAST(bit_count(abs(a)) AS INTEGER)", False), "f_gcd": ((lambda: U.gcd("a", "b")), "gcd(a, b)", False), "f_lcm": ((lambda: U.lcm("a", "b")), "lcm(a, b)", False),
     "f_binary_repr": (lambda: U.binary_repr("a"), "CASE WHEN a < 0 THEN '-' || bin(-a) ELSE bin(a) END", False), "f_base_repr": (lambda: U.base_repr("a", 16), "CASE WHEN a < 0 THEN '-' ELSE '' END || upper(to_base(abs(a), 16))", False),
 })
 
 family("ufunc_exponential", {
-    "f_exp": (_c(U.exp, "x"), "exp(x)", True), "f_exp2": (_c(U.exp2, "x"), "pow(2.0::DOUBLE, x)", True), "f_expm1": (_c(U.expm1, "x"), "exp(x) - 1", True), "f_log": (lambda: U.log(U.absolute("x") + 1e-3), "ln(abs(x) + 1e-3)", True),
+    "f_exp": ((lambda: U.exp("x")), "exp(x)", True), "f_exp2": ((lambda: U.exp2("x")), "pow(2.0::DOUBLE, x)", True), "f_expm1": ((lambda: U.expm1("x")), "exp(x) - 1", True), "f_log": (lambda: U.log(U.absolute("x") + 1e-3), "ln(abs(x) + 1e-3)", True),
     "f_log2": (lambda: U.log2(U.absolute("x") + 1e-3), "log2(abs(x) + 1e-3)", True), "f_log10": (lambda: U.log10(U.absolute("x") + 1e-3), "log10(abs(x) + 1e-3)", True), "f_log1p": (lambda: U.log1p(U.absolute("x")), "ln(1 + abs(x))", True),
-    "f_logaddexp": (_c(U.logaddexp, "x", "y"), "ln(exp(x) + exp(y))", True), "f_logaddexp2": (_c(U.logaddexp2, "x", "y"), "log2(pow(2.0::DOUBLE, x) + pow(2.0::DOUBLE, y))", True), "f_log_zero": (lambda: U.isneginf(U.log(F.col("y") * 0)), "true", False),
-    "f_ldexp": (_c(U.ldexp, "x", "b"), "x * pow(2.0::DOUBLE, b)", False), "f_float_power": (lambda: U.float_power(U.absolute("x"), F.lit(1.5)), "pow(abs(x), 1.5::DOUBLE)", True),
+    "f_logaddexp": ((lambda: U.logaddexp("x", "y")), "ln(exp(x) + exp(y))", True), "f_logaddexp2": ((lambda: U.logaddexp2("x", "y")), "log2(pow(2.0::DOUBLE, x) + pow(2.0::DOUBLE, y))", True), "f_log_zero": (lambda: U.isneginf(U.log(F.col("y") * 0)), "true", False),
+    "f_ldexp": ((lambda: U.ldexp("x", "b")), "x * pow(2.0::DOUBLE, b)", False), "f_float_power": (lambda: U.float_power(U.absolute("x"), F.lit(1.5)), "pow(abs(x), 1.5::DOUBLE)", True),
 }, 8)
 
 family("ufunc_trigonometry", {
-    **{f"f_{n}": (_c(getattr(U, n), "x"), f"{s}(x)", True) for n, s in (("sin", "sin"), ("cos", "cos"), ("arctan", "atan"), ("sinh", "sinh"), ("cosh", "cosh"), ("tanh", "tanh"), ("arcsinh", "asinh"), ("degrees", "degrees"), ("radians", "radians"))},
+    **{f"f_{n}": ((lambda n=n: getattr(U, n)("x")), f"{s}(x)", True) for n, s in (("sin", "sin"), ("cos", "cos"), ("arctan", "atan"), ("sinh", "sinh"), ("cosh", "cosh"), ("tanh", "tanh"), ("arcsinh", "asinh"), ("degrees", "degrees"), ("radians", "radians"))},
     "f_tan": (lambda: U.tan(F.col("x") / 4), "tan(x / 4)", True), "f_arcsin": (lambda: U.arcsin(F.col("y") / 4), "asin(y / 4)", True), "f_arccos": (lambda: U.arccos(F.col("y") / 4), "acos(y / 4)", True),
-    "f_arccosh": (lambda: U.arccosh(U.absolute("x") + 1), "acosh(abs(x) + 1)", True), "f_arctanh": (lambda: U.arctanh(F.col("y") / 4), "atanh(y / 4)", True), "f_arctan2": (_c(U.arctan2, "x", "y"), "atan2(x, y)", True),
-    "f_sinc": (_c(U.sinc, "x"), "CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END", True),
+    "f_arccosh": (lambda: U.arccosh(U.absolute("x") + 1), "acosh(abs(x) + 1)", True), "f_arctanh": (lambda: U.arctanh(F.col("y") / 4), "atanh(y / 4)", True), "f_arctan2": ((lambda: U.arctan2("x", "y")), "atan2(x, y)", True),
+    "f_sinc": ((lambda: U.sinc("x")), "CASE WHEN x = 0 THEN 1 ELSE sin(pi() * x) / (pi() * x) END", True),
 }, 8)
 
 family("ufunc_rounding", {
-    "f_floor": (_c(U.floor, "x"), "floor(x)", True), "f_ceil": (_c(U.ceil, "x"), "ceil(x)", True), "f_trunc": (_c(U.trunc, "x"), "trunc(x)", True), "f_rint": (lambda: U.rint(F.col("a") / 2), "round_even(a / 2, 0)", True),
+    "f_floor": ((lambda: U.floor("x")), "floor(x)", True), "f_ceil": ((lambda: U.ceil("x")), "ceil(x)", True), "f_trunc": ((lambda: U.trunc("x")), "trunc(x)", True), "f_rint": (lambda: U.rint(F.col("a") / 2), "round_even(a / 2, 0)", True),
     "f_around": (lambda: U.around("x", 2), "round_even(x * 100, 0) / 100", True), "f_modf_fraction": (lambda: U.modf("x")["fraction"], "x - trunc(x)", True), "f_modf_whole": (lambda: U.modf("x")["whole"], "trunc(x)", True),
     "f_frexp": (lambda: U.frexp("x")["mantissa"] * F.pow(F.lit(2.0), U.frexp("x")["exponent"]), "x", True), "f_nextafter": (lambda: U.nextafter("x", F.lit(9e9)) > F.col("x"), "true", False), "f_spacing": (lambda: U.spacing("x") != 0, "true", False),
 })
