@@ -12,6 +12,7 @@ from; a null id is not held out; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -95,12 +96,13 @@ class ByteCnn:
         dembed[0] = 0
         return {"embed": dembed, "filters": dfilters, "bias": dpool.sum(0), "out": hidden.T @ dz, "out_bias": dz.sum(0)}
 
-    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteCnn:
-        """Adam over windows drawn anew in each epoch; their lengths vary, so that short texts are learnt too."""
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 12, steps: int = 700, batch: int = 64, rate: float = 0.01, seed: int = 11) -> ByteCnn:
+        """Adam over windows drawn anew in each epoch; their lengths vary, so that short texts are learnt too. Few texts are gone through more often, for about the given steps."""
         rng = np.random.default_rng(seed)
+        epochs = max(epochs, math.ceil(steps * batch / max(1, len(texts))))
         names = ("embed", "filters", "bias", "out", "out_bias")
         mean = {k: np.zeros_like(getattr(self, k)) for k in names}
-        square, step = {k: np.zeros_like(v) for k, v in mean.items()}, 0
+        square, done = {k: np.zeros_like(v) for k, v in mean.items()}, 0
         for epoch in range(epochs):
             cuts = []
             for raw in texts:
@@ -111,11 +113,11 @@ class ByteCnn:
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 rows = order[i : i + batch]
-                step += 1
+                done += 1
                 for k, g in self._gradients(x[rows], y[rows]).items():
                     mean[k] = 0.9 * mean[k] + 0.1 * g
                     square[k] = 0.999 * square[k] + 0.001 * g * g
-                    change = rate * (1 - epoch / epochs) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
+                    change = rate * (1 - epoch / epochs) * (mean[k] / (1 - 0.9**done)) / (np.sqrt(square[k] / (1 - 0.999**done)) + 1e-8)
                     setattr(self, k, (getattr(self, k) - change).astype(np.float32))
         return self
 

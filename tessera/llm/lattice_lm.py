@@ -324,7 +324,7 @@ def scored(
         size = told.num_rows
         number = told.column("number").to_numpy()
         own, base, known = np.zeros((size, len(start))), np.zeros(size), np.zeros(size, np.int64)
-        own[number] = np.frombuffer(b"".join(told.column("own").to_pylist()), "<f4").reshape(size, -1)
+        own[number] = np.frombuffer(b"".join(told.column("own").to_pylist()), "<f4").reshape(size, len(start))
         base[number], known[number] = told.column("base").to_numpy(), told.column("known").to_numpy()
         rows = []
         for tokens in texts.column("tokens").to_pylist():
