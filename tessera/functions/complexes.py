@@ -133,7 +133,7 @@ class emath:
     def arccos(x):
         x = _d(x)
         beyond = F.acosh(F.greatest(F.abs(x), F.lit(1.0)))
-        return make(F.when(x > 1, 0.0).when(x < -1, math.pi).otherwise(F.acos(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))), F.when(x > 1, beyond).when(x < -1, -beyond).otherwise(0.0))
+        return make(F.when(x > 1, 0.0).when(x < -1, math.pi).otherwise(F.acos(F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))), F.when(F.abs(x) > 1, -beyond).otherwise(0.0))
 
     @staticmethod
     def arcsin(x):

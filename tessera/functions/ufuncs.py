@@ -374,7 +374,10 @@ radians = deg2rad = _unary(F.radians)
 
 
 def arctan2(a, b):
-    return F.atan2(_d(a), _d(b))
+    """Signed zeros count: they tell the side of the cut."""
+    a, b = _d(a), _d(b)
+    on_axis = copysign(F.when(signbit(b), math.pi).otherwise(0.0), a)
+    return F.when(F.isnan(a) | F.isnan(b), NAN).when(a == 0, on_axis).otherwise(F.atan2(a, b))
 
 
 atan2 = arctan2

@@ -89,7 +89,7 @@ class NdArray:
 
     def tolist(self):
         """Nested lists, in order."""
-        values = [r["v"] for r in self.cells.orderBy(*self.axes).select("v").collect()]
+        values = [r["v"] for r in (self.cells.orderBy(*self.axes) if self.ndim else self.cells).select("v").collect()]
 
         def nest(depth: int, at: int):
             if depth == self.ndim:
