@@ -136,7 +136,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists, _ = written(spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("_spans")), "spans")  # a document's own windows
     kept = [c for c in docs.columns if c != "removed_lines"]
     place = kept.index(text_col)
-    joined = docs.select(*kept, F.xxhash64(id_col, text_col).alias("_key")).join(lists.withColumnRenamed("key", "_key"), "_key", "left").select(*kept, "_spans")
+    # A merge join at every size: the lists grow with the corpus, so the plan must not turn on their fitting a broadcast.
+    joined = docs.select(*kept, F.xxhash64(id_col, text_col).alias("_key")).join(lists.withColumnRenamed("key", "_key").hint("merge"), "_key", "left").select(*kept, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, place):
