@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ufuncs as U
+from tessera.operators import array as _array
 from tessera.operators import reduce as R
 from tessera.operators.array import NdArray
 
@@ -184,3 +185,74 @@ def forward_filled(a: NdArray) -> NdArray:
     name = a.axes[-1]
     w = Window.partitionBy(*a.axes[:-1]).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
     return NdArray(a.cells.withColumn("v", F.last("v", ignorenulls=True).over(w)), a.shape)
+
+
+# --- shape functions: NULL travels with its cell, so those of arrays serve -------
+
+
+
+def _like(make):
+    return lambda a: make(a).zip(a, lambda x, v: F.when(v.isNotNull(), x))
+
+
+zeros, ones, empty, identity = _array.zeros, _array.ones, _array.empty, _array.identity
+zeros_like, ones_like, empty_like = _like(_array.zeros_like), _like(_array.ones_like), _like(_array.empty_like)
+append, concatenate, vstack, row_stack, hstack, dstack, column_stack = _array.append, _array.concatenate, _array.vstack, _array.row_stack, _array.hstack, _array.dstack, _array.column_stack
+reshape, ravel, transpose, swapaxes, squeeze, expand_dims, resize = _array.reshape, _array.ravel, _array.transpose, _array.swapaxes, _array.squeeze, _array.expand_dims, _array.resize
+repeat, take, compress, diagflat = _array.repeat, _array.take, _array.compress, _array.diagflat
+atleast_1d, atleast_2d, atleast_3d = _array.atleast_1d, _array.atleast_2d, _array.atleast_3d
+
+
+def copy(a: NdArray) -> NdArray:
+    """Relations don't change: the array itself."""
+    return a
+
+
+getdata = copy
+
+
+def size(a: NdArray) -> int:
+    return a.size
+
+
+def ndim(a: NdArray) -> int:
+    return a.ndim
+
+
+def shape(a: NdArray) -> tuple[int, ...]:
+    return a.shape
+
+
+def is_mask(m) -> bool:
+    return isinstance(m, NdArray) and m.dtype == "boolean"
+
+
+def isMaskedArray(x) -> bool:
+    return isinstance(x, NdArray)
+
+
+isMA = isarray = isMaskedArray
+
+
+def make_mask(m: NdArray) -> NdArray:
+    return m.map(lambda v: F.coalesce(v.cast("boolean"), F.lit(False)))
+
+
+def make_mask_none(spark, dims) -> NdArray:
+    return _array.full(spark, dims, False)
+
+
+#: The largest and least values by kind, the identities of min and max.
+_ENDS = {"boolean": (True, False), "tinyint": (127, -128), "smallint": (32767, -32768), "int": (2**31 - 1, -(2**31)), "bigint": (2**63 - 1, -(2**63)), "float": (float("inf"), float("-inf")), "double": (float("inf"), float("-inf"))}
+
+
+def minimum_fill_value(a: NdArray):
+    return _ENDS[a.dtype][0]
+
+
+def maximum_fill_value(a: NdArray):
+    return _ENDS[a.dtype][1]
+
+
+def common_fill_value(a: NdArray, b: NdArray):
+    return FILL[a.dtype] if FILL[a.dtype] == FILL[b.dtype] else None

@@ -232,3 +232,20 @@ def test_random(spark):
     same(reduce.sum_(rows, 1), np.ones(5))
     assert sorted(rng.permutation(20).tolist()) == list(range(20)) and len(set(rng.choice(30, 10, replace=False).tolist())) == 10
     assert sorted(rng.permuted(A.array(spark, T), 2).tolist()[0][0]) == sorted(T[0, 0].tolist())
+
+
+def test_matrix(spark):
+    from tessera.operators.matrix import asmatrix
+
+    x = RNG.normal(size=(3, 3))
+    m, n = asmatrix(A.array(spark, x)), np.matrix(x)
+    for mine, theirs in ((m * m, n * n), (m.I, n.I), (m**3, n**3), (m.T, n.T), (m.sum(1), n.sum(1)), (m + m, n + n), (m * 2, n * 2)):
+        np.testing.assert_allclose(mine.tolist(), theirs.tolist(), rtol=1e-8)
+    assert asmatrix(A.array(spark, [1.0, 2.0])).shape == (1, 2)
+
+
+def test_masked_shapes(spark):
+    a = masked.masked_greater(A.array(spark, [1.0, 9.0]), 5.0)
+    assert masked.append(a, a).tolist() == [1.0, None, 1.0, None] and masked.ones_like(a).tolist() == [1.0, None]
+    assert masked.reshape(a, (2, 1)).tolist() == [[1.0], [None]] and masked.minimum_fill_value(a) == np.inf and masked.common_fill_value(a, a) == 1e20
+    assert masked.make_mask_none(spark, (2,)).tolist() == [False, False] and masked.getmask(a).tolist() == [False, True]
