@@ -85,16 +85,17 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     """
     cut = _segments(radius // 2 + 1)
     rows, first, earlier = [], [], []
-    for s, (low, size) in enumerate(cut):
+    for low, size in cut:
         whole = ((1 << size) - 1) << low
         before = " AND ".join(f"bit_count((l.fp ^ r.fp) & {_signed(m)}L) > 1" for m in earlier)
-        first.append(f"WHEN {s} THEN ((l.fp ^ r.fp) & {_signed(whole)}L <> 0 OR l.bit = {low})" + (f" AND {before}" if before else ""))
+        first.append(f"WHEN l.bit < {low + size} THEN ((l.fp ^ r.fp) & {_signed(whole)}L <> 0 OR l.bit = {low})" + (f" AND {before}" if before else ""))
         earlier.append(whole)
-        rows += [f"named_struct('segment', {s}, 'bit', {low + b}, 'mask', {_signed(whole & ~(1 << (low + b)))}L)" for b in range(size)]
+        rows += [f"named_struct('bit', {low + b}, 'mask', {_signed(whole & ~(1 << (low + b)))}L)" for b in range(size)]
+    # Both sides need the same columns, so that one exchange serves both.
     variants = nodes.select("fp", F.explode(F.expr(f"array({', '.join(rows)})")).alias("v")).select(
-        "fp", F.expr("v.segment").alias("segment"), F.expr("v.bit").alias("bit"), F.expr("fp & v.mask").alias("wiped")
+        "fp", F.expr("v.bit").alias("bit"), F.expr("fp & v.mask").alias("wiped")
     )
-    meets = f"l.bit = r.bit AND l.wiped = r.wiped AND l.fp < r.fp AND bit_count(l.fp ^ r.fp) <= {radius} AND CASE l.segment {' '.join(first)} END"
+    meets = f"l.bit = r.bit AND l.wiped = r.wiped AND l.fp < r.fp AND bit_count(l.fp ^ r.fp) <= {radius} AND CASE {' '.join(first)} END"
     return variants.alias("l").join(variants.alias("r"), F.expr(meets)).select(
         F.col("l.fp").alias("left"), F.col("r.fp").alias("right")
     )
@@ -109,7 +110,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, t
     """Of linked fingerprints, those whose representatives' shingle sets have a Jaccard similarity of least or more."""
     ends = pairs.select(F.col("left").alias("fp")).union(pairs.select("right")).distinct()
     texts = (
-        nodes.join(ends, "fp", "left_semi").join(docs.select(F.col(id_col).alias("least_id"), F.col(text_col).alias("_text")), "least_id")
+        nodes.join(ends, "fp", "left_semi").hint("merge").join(docs.select(F.col(id_col).alias("least_id"), F.col(text_col).alias("_text")), "least_id")
         .select("fp", "_text").dropDuplicates(["fp"])
     )
     both = (
