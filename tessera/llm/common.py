@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 import pyarrow.compute as pc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         context.setCheckpointDir(base)
     return base.rstrip("/")
 
