@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +165,16 @@ class Lattice:
 _DOC, _WORD = 0, 1
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Word numbers by byte planes, compressed: the high planes are mostly zeros."""
+    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return raw.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def tokenized(docs: DataFrame, id_col: str, text_col: str, class_col: str | None, names: list) -> DataFrame:
     """Rows of documents (kind 0: a text as numbers of its block's words) and of words (kind 1: a block's word, its number, its training count in each class).
 
@@ -203,7 +214,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, class_col: str | None
                     if w not in numbers:
                         numbers[w] = len(numbers)
                 found = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-                tokens.append(found.tobytes())
+                tokens.append(_packed(found))
                 if k >= 0:
                     learnt[k].append(found)
             yield documents(batch.column(0), batch.column(2), ks, tokens, block)
@@ -311,11 +322,10 @@ def scored(
                         rest = max(told[k][2] * told[k][1], 0.5) / sizes[i]
                         spelt[i] = np.logaddexp(np.log(np.maximum(c[k] - told[k][2], 0) / sizes[i]), np.log(rest / 2) + np.logaddexp(overall, spelt[i]))
             own = (spelt / math.log(10)).astype("<f4").T.copy()
-            base = np.log10((whole + 0.5) / (n + 0.5 * (v + 1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(base), pa.array(whole > 0)], ["word", "own", "base", "known"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(whole.astype(np.int64))], ["word", "own", "count"])
 
-    valued = words.mapInArrow(values, "word binary, own binary, base double, known boolean")
-    back = in_blocks.select("block", "number", "word").join(valued, "word").select("block", "number", "own", "base", "known")
+    valued = words.mapInArrow(values, "word binary, own binary, count bigint")
+    back = in_blocks.select("block", "number", "word").join(valued, "word").select("block", "number", "own", "count")
     start = np.log10(share) + (np.log10(learnt[live] / sizes) if n else 0)
     end_base = math.log10((int(learnt.sum()) + 0.5) / (n + 0.5 * (v + 1)))
     end_known = int(bool(learnt.sum()))
@@ -325,10 +335,11 @@ def scored(
         number = told.column("number").to_numpy()
         own, base, known = np.zeros((size, len(start))), np.zeros(size), np.zeros(size, np.int64)
         own[number] = np.frombuffer(b"".join(told.column("own").to_pylist()), "<f4").reshape(size, len(start))
-        base[number], known[number] = told.column("base").to_numpy(), told.column("known").to_numpy()
+        count = told.column("count").to_numpy()
+        base[number], known[number] = np.log10((count + 0.5) / (n + 0.5 * (v + 1))), count > 0
         rows = []
         for tokens in texts.column("tokens").to_pylist():
-            t = np.frombuffer(tokens, np.int32)
+            t = _unpacked(tokens)
             z = start + own[t].sum(axis=0)
             rows.append((len(t) + 1, int(known[t].sum()) + end_known, float(base[t].sum()) + end_base, float(z.max() + np.log10((10 ** (z - z.max())).sum()))))
         lengths, knowns, bases, owns = zip(*rows) if rows else ((), (), (), ())
