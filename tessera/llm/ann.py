@@ -5,7 +5,10 @@ Euclidean distance. A table hashes a vector to the cell that several random Gaus
 projections, cut into steps, fall in. A query visits in each table its own cell and
 perturbed cells, in the order of the estimated probability that a near neighbour lies
 there, until the visited cells' probabilities reach the table's target; the candidates
-of all tables are merged and ranked by exact inner products in double precision.
+of all tables are merged and ranked by exact inner products in double precision. How far
+a near neighbour is, each query estimates from its own distances to a sample, so dense
+groups of vectors don't set the depth of the others' search. A query whose k-th found
+score is below its estimate is searched again through all parts.
 
 Cells are dealt out to parts of bounded size. A part holds its vectors in memory and
 reads its queries as a stream; a query comes once to each part that it probes. Equal
@@ -15,7 +18,7 @@ copies don't fill a cell, and nothing is lost.
 Defined results: vectors that are null, empty or zero or hold null or non-finite
 components, or whose id is null, take no part, nor do vectors whose length is not the
 most frequent one; a query gets all other rows if there are fewer than k; queries that
-the probes leave with fewer than k are searched again through all parts; rows that
+the probes leave with fewer than k or below the estimate are searched again through all parts; rows that
 repeat an id are one candidate; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -51,12 +54,13 @@ class Hashes:
         self.b = rng.random((TABLES, 1, self.depth))
         self.mix = rng.integers(1, 1 << 62, (TABLES, self.depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(1, 1 << 62, (TABLES, 1), dtype=np.uint64)
-        # How far the k-th neighbour of a query is: a low quantile of the distances in the sample.
-        x = self._lift(sample)
-        near = np.sqrt(np.maximum(0, 2 - 2 * self._aim(sample[:200]) @ x.T))
-        near = np.sort(near[near > 1e-6])
-        self.near = float(near[min(len(near) - 1, int(len(near) * k / max(n, 1)))]) if len(near) else 1.0
-        self.width = STEP * self.near
+        self.sample, self.squares = sample, (sample * sample).sum(axis=1)
+        # The sample's place of the k-th neighbour: three deviations over the number of nearer vectors that the sample holds.
+        held = k * len(sample) / max(n, 1)
+        self.place = min(k, math.ceil(held + 3 * math.sqrt(held)) + 1)
+        near = self.near(sample[:200])
+        near = near[near > 1e-6]
+        self.width = STEP * (float(np.median(near)) if len(near) else 1.0)
         self.target = 1 - (1 - RECALL) ** (1 / TABLES)
 
     def _lift(self, x: np.ndarray) -> np.ndarray:
@@ -68,6 +72,21 @@ class Hashes:
         q = q / np.abs(q).max(axis=1, keepdims=True)
         return np.concatenate([q / np.sqrt((q * q).sum(axis=1, keepdims=True)), np.zeros((len(q), 1))], axis=1)
 
+    def bars(self, q: np.ndarray) -> np.ndarray:
+        """The score that each query's k-th neighbour should reach, from the sample without the query's own vector."""
+        scores = q @ self.sample.T
+        apart = self.squares + (q * q).sum(axis=1, keepdims=True)
+        scores[apart - 2 * scores <= 1e-12 * apart] = -np.inf
+        if scores.shape[1] < self.place:
+            return np.full(len(q), -np.inf)
+        return -np.partition(-scores, self.place - 1, axis=1)[:, self.place - 1]
+
+    def near(self, q: np.ndarray) -> np.ndarray:
+        """How far each query's k-th neighbour is; the longest possible distance if the sample doesn't tell."""
+        with np.errstate(invalid="ignore"):
+            aims = self.bars(q) / (np.sqrt((q * q).sum(axis=1)) * self.longest)
+        return np.sqrt(np.maximum(0, 2 - 2 * np.maximum(aims, -1)))
+
     def _places(self, x: np.ndarray) -> np.ndarray:
         return np.einsum("nd,tdk->tnk", x, self.a) / self.width + self.b
 
@@ -81,7 +100,8 @@ class Hashes:
         places = self._places(self._aim(q))
         base = np.floor(places)
         offsets = np.arange(-2, 3)
-        edges = (base[..., None] + np.arange(-2, 4) - places[..., None]) * self.width / (self.near * math.sqrt(2))
+        near = np.maximum(self.near(q), 1e-3 * self.width)[:, None, None]
+        edges = (base[..., None] + np.arange(-2, 4) - places[..., None]) * self.width / (near * math.sqrt(2))
         chance = np.diff(_erf(edges).astype(np.float64), axis=-1) / 2
         out: list[list[np.ndarray]] = [[] for _ in q]
         for t in range(TABLES):
@@ -129,6 +149,18 @@ def _entries(entries: DataFrame, hashes, parts: int) -> DataFrame:
     return entries.select("v", "ids").mapInArrow(run, _ROW)
 
 
+def _bars(queries: DataFrame, hashes) -> DataFrame:
+    """Each query's bar of Hashes.bars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(hashes.value.bars(_vectors(batch.column(0))))], ["id", "bar"])
+
+    return queries.select("v", "id").mapInArrow(run, "id bigint, bar double")
+
+
 def _asked(queries: DataFrame, hashes, parts: int) -> DataFrame:
     """Kind 1: each query in each part that it probes; ids are the cells. hashes None: in every part, without cells."""
 
@@ -153,9 +185,8 @@ def _asked(queries: DataFrame, hashes, parts: int) -> DataFrame:
     return queries.select("v", "id").mapInArrow(run, _ROW)
 
 
-def _best(x: np.ndarray, ids: list, rows: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
-    """The k nearest (score, id) of the entries in rows, ties to the smaller id, the query's own id left out."""
-    rough = x[rows] @ q
+def _best(x: np.ndarray, ids: list, rows: np.ndarray, rough: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
+    """The k nearest (score, id) of the entries in rows with these rough scores, ties to the smaller id, the query's own id left out."""
     if len(rows) > k + 1:
         bar = np.partition(rough, len(rows) - k - 1)[len(rows) - k - 1]  # one more: an entry may be the query's own alone
         rows = rows[rough >= bar - 1e-9 * (1 + abs(bar))]
@@ -168,10 +199,19 @@ def _searched(dealt: DataFrame, k: int) -> DataFrame:
     """Partial results of each part: rows come sorted, a part's entries before its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, vectors, names, where, x, held = None, [], [], {}, None, []
+        part, vectors, names, where, x, held, block = None, [], [], {}, None, [], []
+
+        def whole() -> None:  # queries that search every row of the part share one product
+            if block:
+                rows, qs = np.arange(len(x)), np.stack([q for _, q in block])
+                for (own, q), rough in zip(block, qs @ x.T):
+                    held.extend((own, i, s) for s, i in _best(x, names, rows, rough, q, own, k))
+                block.clear()
+
         for batch in batches:
             for p, kind, name, v, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != part:
+                    whole()
                     part, vectors, names, where, x = p, [], [], {}, None
                 if kind == 0:
                     where.setdefault(name, []).append(len(vectors))
@@ -183,12 +223,18 @@ def _searched(dealt: DataFrame, k: int) -> DataFrame:
                 if x is None:
                     x, vectors = np.stack(vectors), [True]
                     where = {c: np.array(r) for c, r in where.items()}
-                rows = [where[c] for c in ids if c in where] if ids is not None else [np.arange(len(x))]
-                if rows:
-                    held += [(name, i, s) for s, i in _best(x, names, np.concatenate(rows), np.frombuffer(v), name, k)]
+                q = np.frombuffer(v)
+                if ids is None:
+                    block.append((name, q))
+                    if len(block) == 64:
+                        whole()
+                elif rows := [where[c] for c in ids if c in where]:
+                    rows = np.concatenate(rows)
+                    held += [(name, i, s) for s, i in _best(x, names, rows, x[rows] @ q, q, name, k)]
                 if len(held) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], ["query_id", "vec_id", "score"])
                     held = []
+        whole()
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], ["query_id", "vec_id", "score"])
 
@@ -213,12 +259,17 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     n, longest = entries.agg(F.count(F.lit(1)), F.sqrt(F.max(squares))).first()
     first = F.col("ids")[0]
     sample = entries.orderBy(F.xxhash64(first), first).limit(SAMPLE).select("v").collect()
-    hashes = spark.sparkContext.broadcast(Hashes(np.array([r.v for r in sample], np.float64), longest, n, k))  # bounded: no vectors in it
+    hashes = spark.sparkContext.broadcast(Hashes(np.array([r.v for r in sample], np.float64), longest, n, k))  # bounded: the sample and the projections
     parts = max(8, math.ceil(n * TABLES * 8 * dim / PART_BYTES))
     wanted = slim.where("asked").select("v", "id")
     dealt = _entries(entries, hashes, parts).union(_asked(wanted, hashes, parts)).repartition(parts, "part").sortWithinPartitions("part", "kind")
     found, _ = written(_searched(dealt, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
-    short = wanted.join(found.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
+    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    reached = found.withColumn("r", F.row_number().over(last)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
+    bars = _bars(wanted, hashes).groupBy("id").agg(F.max("bar").alias("bar"))
+    slack = 1e-9 * (1 + F.abs("bar"))  # the bar's scores are summed in another order
+    done = reached.join(bars, F.col("id") == F.col("query_id")).where((F.col("bar") == float("-inf")) | (F.col("kth") >= F.col("bar") - slack)).select("query_id")
+    short = wanted.join(done, F.col("id") == F.col("query_id"), "left_anti")
     short, _ = written(short, "short")
     if not short.isEmpty():
         all_parts = max(8, math.ceil(n * 8 * dim / PART_BYTES))

@@ -435,6 +435,24 @@ def test_ann_recall_and_ties(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_ann_recall_beside_a_dense_group(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(4500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = rng.uniform(0.75, 0.95, size=(1500, 1))
+    aside = x[:1500] - (x[:1500] @ x[4499])[:, None] * x[4499]
+    x[:1500] = cosines * x[4499] + np.sqrt(1 - cosines**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    got = collections.defaultdict(set)
+    for r in ann.nearest(vectors_table(spark, x), F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    recall = []
+    for q in range(0, 4500, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        recall.append(len(got[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(recall[:75]) >= 0.9 and np.mean(recall[75:]) >= 0.9
+
+
 def test_ann_small_tables(spark):
     x = np.random.default_rng(1).normal(size=(6, 4))
     rows = ann.nearest(vectors_table(spark, x), F.col("vec_id") == 0).collect()
