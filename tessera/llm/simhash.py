@@ -7,6 +7,12 @@ bits with that bit wiped out; two fingerprints whose segment differs by at most
 one bit meet in a variant. An equality join on the variants and a check of the
 Hamming distance give every link once. Exact copies of a fingerprint are one node.
 
+Where links must reach a Jaccard similarity, fingerprints alone don't tell: a pair of
+similarity 0.8 differs in about ten bits. Equal bands of min-hashes of the same shingles
+are candidates too (a pair of 0.8 shares one with probability 0.9996), and every
+candidate's similarity is computed. In a bucket of equal bands all are first compared
+with the least fingerprint; pairs whose components still differ then are compared each.
+
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero; fewer words than the shingle width make one shingle of the
 whole sequence; a null id keeps its row and takes the least non-null id of its
@@ -30,13 +36,17 @@ from tessera.llm.components import components
 
 BITS = 64
 SEED = 42
+#: Bands of min-hashes and min-hashes a band.
+BANDS, ROWS = 20, 5
+_random = np.random.default_rng(SEED)
+_FLIP, _TURN, _MIX = (_random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, (BANDS, ROWS)))
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The SimHash of a text's word shingles, as an unsigned integer."""
+def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, in blocks."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -44,26 +54,47 @@ def fingerprint(text: str | None, width: int) -> int:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    total = np.zeros(BITS, np.int64)
     step = 1 << 15
     for i in range(0, len(starts), step):
         pieces = [joined[a:b] for a, b in zip(starts[i : i + step].tolist(), ends[i : i + step].tolist())]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+
+
+def _signature(text: str | None, width: int, banded: bool) -> tuple[int, list[int] | None]:
+    """The SimHash of a text's word shingles, as an unsigned integer, and the keys of its bands; a text without words has none."""
+    total, count, least = np.zeros(BITS, np.int64), 0, None
+    for hashes in _hashes(text, width):
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         total += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big")
+        count += len(hashes)
+        for i in range(0, len(hashes) if banded else 0, 512):
+            low = ((hashes[i : i + 512, None] ^ _FLIP) * _TURN).min(axis=0)
+            least = low if least is None else np.minimum(least, low)
+    keys = None
+    if least is not None:
+        keys = ((least.reshape(BANDS, ROWS) >> np.uint64(1)) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+    return int.from_bytes(np.packbits(total * 2 > count).tobytes(), "big"), keys
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Columns (id_col, fp): the fingerprint as a signed long."""
+def fingerprint(text: str | None, width: int) -> int:
+    """The SimHash of a text's word shingles, as an unsigned integer."""
+    return _signature(text, width, False)[0]
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, banded: bool = False) -> DataFrame:
+    """Columns (id_col, fp): the fingerprint as a signed long; with banded also bands, the keys of the bands of min-hashes."""
+    names = [id_col, "fp", "bands"] if banded else [id_col, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
-            found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_col, "fp"])
+            found = [_signature(t.as_py(), width, banded) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array(np.fromiter((f for f, _ in found), np.uint64, len(found)).view(np.int64))]
+            if banded:
+                columns.append(pa.array([keys for _, keys in found], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint" + (", bands array<bigint>" if banded else ""))
 
 
 def _segments(count: int) -> list[tuple[int, int]]:
@@ -128,20 +159,40 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, t
     return both.mapInArrow(run, "left bigint, right bigint")
 
 
+def _similar_links(pairs: DataFrame, marked: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """Links of that similarity among the given pairs of fingerprints and those with an equal band."""
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "bands")
+    own = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    bands, _ = written(own.select("fp", F.posexplode("first.bands").alias("band", "key")), "bands")
+    buckets = bands.groupBy("band", "key").agg(F.min("fp").alias("left"), F.max("fp").alias("most")).where("left < most").drop("most")
+    buckets, _ = written(buckets, "buckets")
+    stars = bands.join(buckets, ["band", "key"]).where("left < fp").select("left", F.col("fp").alias("right"))
+    first, _ = written(pairs.union(stars).distinct(), "links")
+    near, _ = written(_similar(first, docs, nodes, id_col, text_col, width, least), "near")
+    labels = components(near, "left", "right", "fp", "label")
+    named = bands.join(buckets.select("band", "key"), ["band", "key"], "left_semi").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named, _ = written(named, "named")
+    mixed = named.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("band", "key")
+    left, _ = written(named.join(mixed, ["band", "key"], "left_semi"), "mixed")
+    meets = "l.band = r.band AND l.key = r.key AND l.fp < r.fp AND l.label <> r.label"
+    rest = left.alias("l").join(left.alias("r"), F.expr(meets)).select(F.col("l.fp").alias("left"), F.col("r.fp").alias("right")).distinct()
+    rest, _ = written(rest.join(first, ["left", "right"], "left_anti"), "rest")
+    return near.union(_similar(rest, docs, nodes, id_col, text_col, width, least))
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, least_similarity: float | None = None
 ) -> DataFrame:
     """One row per document: its id, fp (signed long), and component_id, the least id reachable by links.
 
-    With least_similarity, links between different fingerprints must also reach that Jaccard
-    similarity of their representatives' shingle sets.
+    With least_similarity, different fingerprints are linked if their representatives' shingle sets
+    reach that Jaccard similarity; candidates are those within the radius and those with an equal band.
     """
-    marked, _ = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    marked, _ = written(fingerprints(docs, id_col, text_col, width, least_similarity is not None), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     pairs = links(nodes.select("fp"), radius)
     if least_similarity is not None:
-        pairs, _ = written(pairs, "links")
-        pairs = _similar(pairs, docs, nodes, id_col, text_col, width, least_similarity)
+        pairs, _ = written(_similar_links(pairs, marked, docs, nodes, id_col, text_col, width, least_similarity), "similar")
     labels = components(pairs, "left", "right", "fp", "label")
     named = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))

@@ -112,6 +112,21 @@ def test_keep_one_of_each(spark):
     assert 4 in kept and len(kept) == (2 if bin(brute_fingerprint(" ".join(words), 5) ^ brute_fingerprint(" ".join(near), 5)).count("1") <= 6 else 3)
 
 
+def test_keep_one_of_each_matches_brute_jaccard(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = words.copy()
+        for at in range(3, 3 + 20 * (i % 6), 20):  # each changes five shingles: similarities from 0.77 to 0.95 and copies
+            other[at] = f"x{rng.randrange(5000)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in rows}
+    want = [i for i, _ in rows if i % 2 == 0 or len(sets[i] & sets[i - 1]) < 0.8 * len(sets[i] | sets[i - 1])]
+    got = sorted(r.doc_id for r in simhash.keep_one_of_each(frame(spark, rows, "doc_id bigint, text string")).collect())
+    assert got == want and 60 < len(want) < 120
+
+
 # --- 5: BPE --------------------------------------------------------------------
 
 
