@@ -8,7 +8,9 @@ there, until the visited cells' probabilities reach the table's target; the cand
 of all tables are merged and ranked by exact inner products in double precision. How far
 a near neighbour is, each query estimates from its own distances to a sample, so dense
 groups of vectors don't set the depth of the others' search. A query whose k-th found
-score is below its estimate is searched again through all parts.
+score is below its estimate is searched again through all parts. A cell is cut by fewer
+projections if most sampled queries could not reach the target in PROBES cells; a query
+that still can't visits none and is searched through all parts at once.
 
 Cells are dealt out to parts of bounded size. A part holds its vectors in memory and
 reads its queries as a stream; a query comes once to each part that it probes. Equal
@@ -49,10 +51,10 @@ class Hashes:
     def __init__(self, sample: np.ndarray, longest: float, n: int, k: int, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.longest, dim = max(longest, 1e-300), sample.shape[1] + 1
-        self.depth = max(3, round(0.42 * math.log2(max(n, 2))))
-        self.a = rng.normal(0, 1, (TABLES, dim, self.depth))
-        self.b = rng.random((TABLES, 1, self.depth))
-        self.mix = rng.integers(1, 1 << 62, (TABLES, self.depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        depth = max(3, round(0.42 * math.log2(max(n, 2))))
+        self.a = rng.normal(0, 1, (TABLES, dim, depth))
+        self.b = rng.random((TABLES, 1, depth))
+        self.mix = rng.integers(1, 1 << 62, (TABLES, depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(1, 1 << 62, (TABLES, 1), dtype=np.uint64)
         self.sample, self.squares = sample, (sample * sample).sum(axis=1)
         # The sample's place of the k-th neighbour: three deviations over the number of nearer vectors that the sample holds.
@@ -62,6 +64,10 @@ class Hashes:
         near = near[near > 1e-6]
         self.width = STEP * (float(np.median(near)) if len(near) else 1.0)
         self.target = 1 - (1 - RECALL) ** (1 / TABLES)
+        asked = sample[:200]
+        while depth > 3 and np.mean([len(p) > 0 for p in self.probes(asked)]) < 0.9:
+            depth -= 1
+            self.a, self.b, self.mix = self.a[..., :depth], self.b[..., :depth], self.mix[:, :depth]
 
     def _lift(self, x: np.ndarray) -> np.ndarray:
         x = x / self.longest
@@ -96,7 +102,7 @@ class Hashes:
         return ((steps * self.mix[:, None]).sum(axis=2, dtype=np.uint64) + self.salt).T.view(np.int64)
 
     def probes(self, q: np.ndarray) -> list[np.ndarray]:
-        """The cells that each query visits, of all tables."""
+        """The cells that each query visits, of all tables; none if PROBES cells of a table can't reach its target."""
         places = self._places(self._aim(q))
         base = np.floor(places)
         offsets = np.arange(-2, 3)
@@ -104,9 +110,10 @@ class Hashes:
         edges = (base[..., None] + np.arange(-2, 4) - places[..., None]) * self.width / (near * math.sqrt(2))
         chance = np.diff(_erf(edges).astype(np.float64), axis=-1) / 2
         out: list[list[np.ndarray]] = [[] for _ in q]
+        reached = np.ones(len(q), bool)
         for t in range(TABLES):
             weight, code = np.ones((len(q), 1)), np.full((len(q), 1), self.salt[t, 0], np.uint64)
-            for k in range(self.depth):
+            for k in range(self.a.shape[2]):
                 steps = (base[t, :, k, None] + offsets).astype(np.int64).astype(np.uint64) * self.mix[t, k]
                 weight = (weight[:, :, None] * chance[t, :, None, k]).reshape(len(q), -1)
                 code = (code[:, :, None] + steps[:, None]).reshape(len(q), -1)
@@ -116,9 +123,10 @@ class Hashes:
             order = np.argsort(-weight, axis=1, kind="stable")
             weight, code = np.take_along_axis(weight, order, 1), np.take_along_axis(code, order, 1)
             wanted = np.cumsum(weight, axis=1) - weight < self.target
+            reached &= weight.sum(axis=1) >= self.target
             for i in range(len(q)):
                 out[i].append(code[i, wanted[i]].view(np.int64))
-        return [np.unique(np.concatenate(x)) for x in out]
+        return [np.unique(np.concatenate(x)) if whole else np.empty(0, np.int64) for x, whole in zip(out, reached)]
 
 
 _ROW = "part int, kind int, id bigint, v binary, ids array<bigint>"

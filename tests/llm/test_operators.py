@@ -468,6 +468,20 @@ def test_ann_recall_beside_a_dense_group(spark):
     assert np.mean(recall[:75]) >= 0.9 and np.mean(recall[75:]) >= 0.9
 
 
+def test_ann_probes_reach_the_target_at_any_size():
+    rng = np.random.default_rng(26)
+    sample, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 2000, 64)))
+    hashes, q = ann.Hashes(sample, 1.0, 10_000_000, 20), q[:200]
+    near = hashes.near(q)
+    aside = rng.normal(size=q.shape)
+    aside -= (aside * q).sum(axis=1, keepdims=True) * q
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosines = (1 - near**2 / 2)[:, None]
+    cells = hashes.cells(cosines * q + np.sqrt(1 - cosines**2) * aside)
+    found = [bool(np.isin(c, p).any()) for c, p in zip(cells, hashes.probes(q)) if len(p)]
+    assert len(found) >= 100 and np.mean(found) >= 0.92
+
+
 def test_ann_small_tables(spark):
     x = np.random.default_rng(1).normal(size=(6, 4))
     rows = ann.nearest(vectors_table(spark, x), F.col("vec_id") == 0).collect()
