@@ -63,6 +63,19 @@ def usable_vector(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """A name like this that no column of the table has, in upper or lower case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def by_size(batches, column: int, limit: int = 4 << 20):
     """Cut Arrow batches into slices of about limit bytes of a text column (one row at least), so that what is made of a slice stays small."""
     for batch in batches:

@@ -1,23 +1,31 @@
 """Line dedup by winnowing over line hashes.
 
-Units are the lines that have words. A window is the shortest run of lines from a line
-on that has at least `least_words` words; the least line hash in a window, with its
-place, is the window's fingerprint. A repeated run of that many words contains a whole
-window, so it is guaranteed to share a fingerprint with its earlier occurrence. A
-fingerprint is joined together with its window's content, so that a common short line
-does not pair all documents that have it, and only with the first occurrence in the
-order of ids and places: the join is linear however often a passage is repeated. Every
-match is extended both ways, line by line, while lines are equal, by less than a
-window's words: a longer match has windows of its own. The lines of the later
-occurrence are deleted, the earliest stays.
-
-Each deleted line has an equal line earlier in the order, and the first of a chain is
-never deleted, so no line disappears from the corpus.
-
-Defined results: a null text stays null and an empty one empty; lines without words
-are never counted and stay unless they lie inside a deleted run; rows that repeat both
-id and text are one document and are treated alike; null ids come last in the order;
-an empty table gives no rows. Other columns are carried along.
+Lines are cut into units: a line ends a unit, and so does, inside a line, the word with
+the least hash of every few neighbouring words, so that a passage pasted into a longer
+line has the same units there. A gram is the shortest run of units from a unit on with
+at least so many words. Of all grams in a window (the shortest run of units with the
+window's words) the one with the least hash is selected, and only selected grams are
+written and joined: a repeated run of `least_words` words, in lines of its own or inside
+others, holds a whole window of equal units and so the same selected gram. Windows
+overlap, so that the fingerprints of a repeated run overlap too.
+
+A fingerprint is joined with the place of its first occurrence in the order of ids and
+places, never with all others: the join is linear however often a passage is repeated.
+Overlapping places with the same shift are one span, and the words on both sides of the
+first occurrence, fetched once for each place, extend it both ways word by word up to
+`least_words` words (a longer run has fingerprints of its own). What reaches
+`least_words` words in all is deleted from the later document; the earliest stays.
+
+Each deleted word has an equal one earlier in the order, and the first of a chain is
+never deleted, so no passage disappears from the corpus. A passage is missed if all its
+fingerprints occur first in other documents without `least_words` words of it.
+
+Defined results: a null text stays null and an empty one empty; a line of which all
+words went goes, of other lines the rest stays; lines without words stay unless they lie
+inside a deleted run; of a run that repeats itself (ab ab ab) `least_words` words stay;
+rows that repeat both id and text are one document and are treated alike; null ids come
+last in the order; an empty table gives no rows. Other columns are carried along
+whatever their names, but removed_lines and removed_words are replaced.
 """
 
 from __future__ import annotations
@@ -26,132 +34,240 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.common import by_size, written
+from tessera.llm.common import by_size, column, fresh, written
 
 #: Passages of at least so many words are found.
 LEAST_WORDS = 50
-_SIGNED = 1 << 63
-
-
-def units(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Of a text's lines with words: their numbers, hashes and counts of words."""
-    at, hashes, sizes = [], [], []
-    for i, line in enumerate((text or "").split("\n")):
-        if words := len(line.split()):
-            at.append(i)
-            hashes.append(xxhash.xxh64_intdigest(line.strip()) - _SIGNED)
-            sizes.append(words)
-    return at, np.array(hashes, np.int64), np.array(sizes, np.int64)
-
-
-def windows(hashes: np.ndarray, sizes: np.ndarray, least: int) -> list[tuple[int, int, int, int, bytes, bytes]]:
-    """Windows of a text: first unit, number of units, fingerprint, content hash, and the hashes of units before (nearest first) and after."""
-    ends = np.concatenate(([0], np.cumsum(sizes)))
-    total, out = ends[-1], []
-    for i in range(len(sizes)):
-        if total - ends[i] < least:
-            break
-        j = int(np.searchsorted(ends, ends[i] + least))
-        inside = hashes[i:j]
-        place = int(inside.argmin())
-        fingerprint = xxhash.xxh64_intdigest(inside[place].tobytes() + place.to_bytes(4, "little")) - _SIGNED
-        back = int(np.searchsorted(ends, ends[i] - least, side="right"))
-        on = int(np.searchsorted(ends, ends[j] + least)) - 1
-        out.append((i, j - i, fingerprint, xxhash.xxh64_intdigest(inside.tobytes()) - _SIGNED, hashes[back:i][::-1].tobytes(), hashes[j : max(j, on)].tobytes()))
-    return out
-
-
-def _shared(a: bytes, b: bytes) -> int:
-    """How many hashes two packed lists have in common from their start."""
-    n = min(len(a), len(b)) // 8
-    x, y = np.frombuffer(a, np.int64, n), np.frombuffer(b, np.int64, n)
-    different = np.flatnonzero(x != y)
-    return int(different[0]) if len(different) else n
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SHIFT = np.uint64(29)
+_POWERS = np.cumprod(np.full(4096, _BASE, np.uint64))
+
+
+def sizes(least: int) -> tuple[int, int, int]:
+    """For passages of so many words: the words of a cut inside a line, of a gram and of a window.
+
+    A run loses at most a cut's words at each end before its first and after its last whole unit.
+    """
+    cut = max(1, least // 6)
+    window = max(1, least - 2 * cut)
+    return cut, max(1, window * 3 // 5), window
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _SHIFT)) * _MIX
+    return x ^ (x >> _SHIFT)
+
+
+class Words:
+    """All words of some texts, side by side: the bytes where they start and end, their lines, texts and hashes."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = b"\n".join(texts) + b"\n"  # so no line crosses two texts
+        codes = np.frombuffer(raw, np.uint8)
+        inside = ~_SPACE[codes]
+        edges = np.flatnonzero(np.diff(inside, prepend=False))
+        self.start, self.end = edges[::2], edges[1::2]
+        self.line = np.searchsorted(np.flatnonzero(codes == 10), self.start)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        self.text = np.searchsorted(begins, self.start, side="right") - 1
+        self.first = np.searchsorted(self.text, np.arange(len(texts)))
+        self.hash = np.zeros(len(self.start), np.uint64)
+        sized, at = self.end - self.start, 0
+        upto = np.cumsum(sized)
+        while at < len(sized):  # in blocks, so that what is made of a very long text stays small
+            last = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (4 << 20))))
+            self.hash[at:last] = self._hashed(codes[self.start[at] : self.end[last - 1]], sized[at:last])
+            at = last
+
+    @staticmethod
+    def _hashed(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        own = codes[~_SPACE[codes]]
+        starts = np.cumsum(lengths) - lengths
+        place = np.arange(len(own)) - np.repeat(starts, lengths)
+        return _mixed(np.add.reduceat((own + np.uint64(1)) * _POWERS[place & 4095], starts) + lengths.astype(np.uint64))
+
+
+def units(words: Words, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where units start and end, in words, and their hashes."""
+    n = len(words.line)
+    closes = np.ones(n, bool)
+    if cut > 1:
+        closes[:-1] = words.line[1:] != words.line[:-1]
+        if n >= cut:
+            least = np.lib.stride_tricks.sliding_window_view(words.hash, cut).argmin(axis=1)
+            within = words.line[: n - cut + 1] == words.line[cut - 1 :]
+            closes[(np.arange(n - cut + 1) + least)[within]] = True
+    ends = np.flatnonzero(closes) + 1
+    starts = np.concatenate(([0], ends[:-1])) if n else ends
+    if not n:
+        return starts, ends, np.zeros(0, np.uint64)
+    place = np.arange(n) - np.repeat(starts, ends - starts)
+    return starts, ends, _mixed(np.add.reduceat(words.hash * _POWERS[place], starts))
 
 
-def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
-    """A text without the lines from each span's first unit to its last, and how many lines with words went."""
-    at, _, _ = units(text)
-    lines = text.split("\n")
-    gone, lost = np.zeros(len(lines), bool), np.zeros(len(at), bool)
-    for low, high in spans:
-        gone[at[low] : at[high - 1] + 1] = True
-        lost[low:high] = True
-    return "\n".join(line for line, out in zip(lines, gone) if not out), int(lost.sum())
+def selected(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The grams that some window selects: their texts, hashes, and first and last words (excluded), numbered within the text."""
+    cut, gram, window = sizes(least)
+    starts, ends, own = units(words, cut)
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    text = words.text[starts]
+    last = np.searchsorted(ends, starts + gram)  # a gram's last unit
+    hashed = np.zeros(n, np.uint64)
+    padded = np.concatenate([own, np.zeros(gram, np.uint64)])
+    for i in range(int((np.minimum(last, n - 1) - np.arange(n)).max()) + 1):
+        inside = np.arange(n) + i <= last
+        hashed[inside] = hashed[inside] * _BASE + padded[i : i + n][inside]
+    hashed = _mixed(hashed)
+    close = np.searchsorted(ends, starts + window)
+    whole = np.flatnonzero((close < n) & (text[np.minimum(close, n - 1)] == text))
+    if not len(whole):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    order = np.argsort(hashed, kind="stable")  # of equal grams the first
+    rank = np.empty(n + 1, np.int64)
+    rank[order], rank[n] = np.arange(n), n
+    beyond = np.searchsorted(last, close[whole], side="right")
+    least_rank = np.minimum.reduceat(rank, np.stack([whole, beyond], axis=1).ravel())[::2]
+    chosen = np.unique(order[least_rank])
+    base = words.first[text[chosen]]
+    return text[chosen], hashed[chosen].view(np.int64), (starts[chosen] - base).astype(np.int32), (ends[last[chosen]] - base).astype(np.int32)
 
 
-_COLUMNS = ["key", "id", "start", "size", "fp", "content", "before", "after"]
+def _encoded(texts: pa.Array) -> list[bytes]:
+    return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """128 bits of an id and its text: what names a document."""
+    return F.unhex(F.md5(F.concat(F.coalesce(column(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(column(text_col), F.lit(""))).cast("binary")))
 
 
 def _entries(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """The selected grams of all documents: a and id name the document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 2):
-            rows, owners = [], []
-            for r, text in enumerate(batch.column(2)):
-                _, hashes, sizes = units(text.as_py())
-                found = windows(hashes, sizes, least)
-                rows += found
-                owners += [r] * len(found)
-            taken = pa.array(owners, pa.int64())
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            rest = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *rest], _COLUMNS)
+            owner, fp, low, high = selected(Words(_encoded(batch.column(2))), least)
+            taken = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(low), pa.array(high), pa.array(fp)], ["a", "id", "low", "high", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"key bigint, id {kind}, start int, size int, fp bigint, content bigint, before binary, after binary")
+    source = docs.select(_key(id_col, text_col).alias("a"), column(id_col).alias("id"), column(text_col).alias("text"))
+    return source.mapInArrow(run, f"a binary, id {kind}, low int, high int, fp bigint")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Spans to delete: key (of id and text), low and high, numbers of units, high excluded."""
-    entries, _ = written(_entries(docs, id_col, text_col, least_words), "windows")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "start")
-    # The first occurrence's own fields, no context: it is a fixed-width minimum that partial aggregates keep small.
-    firsts = entries.groupBy("fp", "content").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "content", "first")
+def _matches(entries: DataFrame) -> DataFrame:
+    """Spans of a document a that an earlier place, `shift` words before in document b, holds too."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("a").alias("b"), F.col("low").alias("at"))
+    # The first occurrence is a fixed-width minimum that partial aggregates keep small.
+    firsts = entries.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "first.b", "first.at")
     firsts, _ = written(firsts, "firsts")
-    met = entries.join(firsts, ["fp", "content"])
-    is_first = (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start"))
-    context = met.where(is_first).select("fp", "content", F.col("before").alias("b"), F.col("after").alias("a")).dropDuplicates(["fp", "content"])
-    context, _ = written(context, "contexts")
-    later = entries.join(context, ["fp", "content"]).join(firsts, ["fp", "content"]).where(~is_first).select("key", "start", "size", "before", "after", "b", "a")
+    met = entries.join(firsts, "fp").where("a <> b OR low <> at").select("a", "b", (F.col("low") - F.col("at")).alias("shift"), "low", "high")
+    # Overlapping grams of the same shift are one span. A partition is a part of one document's own grams.
+    along = Window.partitionBy("a", "b", "shift").orderBy("low", "high")
+    opens = F.coalesce(F.col("low") > F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    numbered = met.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(along))
+    return numbered.groupBy("a", "b", "shift", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+
+
+def _contexts(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """Hashes of the words before (nearest first) and after the places that spans name in first occurrences: b, at, after, words."""
+    asked = spans.groupBy("b").agg(F.collect_set(F.col("low") - F.col("shift")).alias("lows"), F.collect_set(F.col("high") - F.col("shift")).alias("highs"))  # a document's own places
+    source = docs.select(_key(id_col, text_col).alias("b"), column(text_col).alias("text")).join(asked.hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, high = [], []
-            for start, size, before, after, b, a in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                low.append(start - _shared(before, b))
-                high.append(start + size + _shared(after, a))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["key", "low", "high"])
+        for batch in by_size(batches, 1):
+            rows = []
+            for b, text, lows, highs in zip(batch.column(0).to_pylist(), _encoded(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                near = Words([text]).hash.astype("<u4")
+                rows += [(b, at, False, near[max(0, at - least) : at][::-1].tobytes()) for at in lows]
+                rows += [(b, at, True, near[at : at + least].tobytes()) for at in highs]
+            columns = zip(*rows) if rows else ([], [], [], [])
+            kinds = [pa.binary(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["b", "at", "after", "words"])
+
+    return source.select("b", "text", "lows", "highs").mapInArrow(run, "b binary, at int, after boolean, words binary").dropDuplicates(["b", "at", "after"])
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """For each document a with matches the list `spans`: low, high, shift and the words around the first occurrence, own if that lies in a itself."""
+    entries, _ = written(_entries(docs, id_col, text_col, least_words), "grams")
+    spans, _ = written(_matches(entries), "matches")
+    contexts, _ = written(_contexts(docs, spans, id_col, text_col, least_words), "contexts")
+    before = contexts.where("NOT after").select("b", F.col("at").alias("from"), F.col("words").alias("before"))
+    after = contexts.where("after").select("b", F.col("at").alias("upto"), F.col("words").alias("behind"))
+    placed = spans.withColumn("from", F.col("low") - F.col("shift")).withColumn("upto", F.col("high") - F.col("shift"))
+    told = placed.join(before, ["b", "from"]).join(after, ["b", "upto"])
+    own = (F.col("a") == F.col("b")).alias("own")
+    return told.groupBy("a").agg(F.collect_list(F.struct("low", "high", "shift", own, "before", "behind")).alias("spans"))  # a document's own grams
+
+
+def _alike(a: np.ndarray, b: bytes) -> int:
+    """How many words two lists of hashes have in common from their start."""
+    b = np.frombuffer(b, "<u4")
+    n = min(len(a), len(b))
+    different = np.flatnonzero(a[:n] != b[:n])
+    return int(different[0]) if len(different) else n
+
 
-    return later.mapInArrow(run, "key bigint, low int, high int").distinct()
+def without(text: str, spans: list[dict], least: int) -> tuple[str, int, int]:
+    """A text without the spans that reach least words when extended both ways, and how many lines lost words and how many words went."""
+    raw = text.encode()
+    words = Words([raw])
+    near, gone = words.hash.astype("<u4"), np.zeros(len(words.hash), bool)
+    for span in spans:
+        low, high = span["low"], span["high"]
+        low -= _alike(near[max(0, low - least) : low][::-1], span["before"])
+        high += _alike(near[high : high + least], span["behind"])
+        if high - low >= least:
+            gone[max(low, low - span["shift"] + least) if span["own"] else low : high] = True
+    if not gone.any():
+        return text, 0, 0
+    out, at = [], 0
+    for i, line in enumerate(raw.split(b"\n")):
+        low, high = np.searchsorted(words.line, (i, i + 1))
+        lost = gone[low:high]
+        if lost.any() and not lost.all():
+            kept, cut = [], 0
+            for w in np.flatnonzero(lost) + low:
+                kept.append(line[cut : words.start[w] - at])
+                cut = (words.start[w + 1] if w + 1 < high else at + len(line)) - at
+            out.append((b"".join(kept) + line[cut:]).rstrip())
+        elif not (lost.all() if low < high else 0 < low < len(gone) and gone[low - 1] and gone[low]):
+            out.append(line)
+        at += len(line) + 1
+    return b"\n".join(out).decode(), len(np.unique(words.line[gone])), int(gone.sum())
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents without repeated runs of lines, and removed_lines, the number of lines with words that went."""
-    spans = repeated_spans(docs, id_col, text_col, least_words)
-    lists, _ = written(spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("_spans")), "spans")  # a document's own windows
-    kept = [c for c in docs.columns if c != "removed_lines"]
-    place = kept.index(text_col)
+    """The documents without repeated passages; removed_lines and removed_words, how many lines lost words and how many words went."""
+    lists, _ = written(repeated_spans(docs, id_col, text_col, least_words), "spans")
+    kept = [c for c in docs.columns if c not in ("removed_lines", "removed_words")]
+    place, key, spans = kept.index(text_col), fresh(docs, "key"), fresh(docs, "spans")
     # A merge join at every size: the lists grow with the corpus, so the plan must not turn on their fitting a broadcast.
-    joined = docs.select(*kept, F.xxhash64(id_col, text_col).alias("_key")).join(lists.withColumnRenamed("key", "_key").hint("merge"), "_key", "left").select(*kept, "_spans")
+    named = docs.select(*map(column, kept), _key(id_col, text_col).alias(key))
+    joined = named.join(lists.select(F.col("a").alias(key), F.col("spans").alias(spans)).hint("merge"), key, "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, place):
-            texts, counts = [], []
-            for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(kept)).to_pylist()):
-                left, gone = (text, 0) if not spans or text is None else without(text, [(s["low"], s["high"]) for s in spans])
-                texts.append(left)
-                counts.append(gone)
+            told = [
+                (text, 0, 0) if not found or text is None else without(text, found, least_words)
+                for text, found in zip(batch.column(place).to_pylist(), batch.column(len(kept)).to_pylist())
+            ]
+            texts, lines, words = zip(*told) if told else ((), (), ())
             columns = list(batch.columns[: len(kept)])
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*kept, "removed_lines"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(words, pa.int64())], [*kept, "removed_lines", "removed_words"])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    return joined.mapInArrow(run, ", ".join([*fields, "removed_lines bigint"]))
+    result = StructType([*(docs.schema[c] for c in kept), StructField("removed_lines", LongType()), StructField("removed_words", LongType())])
+    return joined.mapInArrow(run, result)
 
 
 def op4_lines(spark, sf_dir: str) -> DataFrame:

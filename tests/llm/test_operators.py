@@ -338,59 +338,98 @@ def test_cnn_gradients():
 # --- 4: lines ------------------------------------------------------------------
 
 
-def brute_lines(rows, least):
-    """Units of each document that a match with an earlier first occurrence covers."""
-    docs = [[line for line in (t or "").split("\n") if line.split()] for _, t in rows]
-    first, seen, gone = {}, [], collections.defaultdict(set)
-    for n, units in enumerate(docs):
-        for a in range(len(units)):
-            words, b = 0, a
-            while b < len(units) and words < least:
-                words += len(units[b].split())
-                b += 1
-            if words < least:
-                break
-            key = tuple(u.strip() for u in units[a:b])
-            seen.append((n, a, b, key))
-            first.setdefault(key, (n, a, b))
-
-    def grown(x, y, i, j, step):
-        words = count = 0
-        while 0 <= i < len(x) and 0 <= j < len(y) and x[i].strip() == y[j].strip():
-            words += len(x[i].split())
-            if words >= least:
-                break
-            count, i, j = count + 1, i + step, j + step
-        return count
+def brute_repeats(rows, least):
+    """Of each document, in order, the words that lie in a run of least words that an earlier place holds too."""
+    seen, out = set(), []
+    for _, text in rows:
+        words = (text or "").split()
+        gone = set()
+        for i in range(len(words) - least + 1):
+            run = tuple(words[i : i + least])
+            if run in seen:
+                gone.update(range(i, i + least))
+            seen.add(run)
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("least", [5, 12, 50])
+def test_lines_match_brute_force(spark, least):
+    """Passages as lines of their own, glued to other text and inside longer lines: exactly the words of later repeats go."""
+    rng = random.Random(least)
+    fresh = iter(range(10**9))
 
-    for n, a, b, key in seen:
-        m, c, e = first[key]
-        if (m, c) != (n, a):
-            x, y = docs[n], docs[m]
-            gone[rows[n][0]].update(range(a - grown(x, y, a - 1, c - 1, -1), b + grown(x, y, b, e, 1)))
-    return gone
+    def prose(n):
+        return [f"w{next(fresh)}" + rng.choice(["", "", "", "\n", "\n\n"]) for _ in range(n)]
+
+    passages = [prose(least + rng.choice([0, 1, 7, 60])) for _ in range(6)] + [prose(least - 1)]
+    rows = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randint(0, 3)):
+            parts += [prose(rng.randint(0, 40)), [rng.choice(["", "\n"])], rng.choice(passages), [rng.choice(["", "\n"])]]
+        rows.append((i, " ".join(w for p in [*parts, prose(3)] for w in p)))
+    rows += [(40, rows[3][1]), (41, None), (42, "")]
+    got = {r.doc_id: r for r in lines.deduplicated(frame(spark, rows, "doc_id bigint, text string"), least_words=least).collect()}
+    lost = 0
+    for (i, text), gone in zip(rows, brute_repeats(rows, least)):
+        words = (text or "").split()
+        assert (got[i].text or "").split() == [w for k, w in enumerate(words) if k not in gone]
+        assert got[i].removed_words == len(gone) and (got[i].removed_lines > 0) == bool(gone)
+        lost += len(gone)
+    assert lost > 20 * least and got[41].text is None and got[42].text == ""
 
 
 @pytest.mark.parametrize("least", [1, 5, 12])
-def test_lines_match_brute_force(spark, least):
+def test_lines_of_few_words(spark, least):
+    """Where everything repeats somewhere, what goes has an earlier equal, what is unlike stays, and no line's words disappear."""
     rng = random.Random(least)
     pool = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randint(1, 8))) for _ in range(25)]
     rows = [(i, "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randint(0, 14)))) for i in range(60)]
     rows[7] = (7, rows[3][1])
     got = {r.doc_id: r for r in lines.deduplicated(frame(spark, rows, "doc_id bigint, text string"), least_words=least).collect()}
-    want = brute_lines(rows, least)
-    for i, text in rows:
-        units = [line for line in text.split("\n") if line.split()]
-        kept = [u for k, u in enumerate(units) if k not in want[i]]
-        assert [line for line in got[i].text.split("\n") if line.split()] == kept
-        assert got[i].removed_lines == len(want[i])
-    assert {line.strip() for _, t in rows for line in t.split("\n")} - {""} <= {line.strip() for r in got.values() for line in r.text.split("\n")}
+    repeats = brute_repeats(rows, least)
+    for (i, text), may in zip(rows, repeats):
+        assert got[i].removed_words <= len(may) and len(got[i].text.split()) == len(text.split()) - got[i].removed_words
+        if not may:
+            assert got[i].text == text
+    assert sum(r.removed_words for r in got.values()) >= 0.7 * sum(map(len, repeats))
+    assert {w for _, t in rows for w in t.split()} == {w for r in got.values() for w in r.text.split()}
+
+
+def test_line_cuts_and_grams_follow_their_definition():
+    rng = random.Random(9)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 9))).encode() for _ in range(30)]
+    words = lines.Words(texts)
+    alone = [lines.Words([t]).hash for t in texts]
+    assert (words.hash == np.concatenate(alone)).all() and len({tuple(t.split()) for t in texts}) <= len({h.tobytes() for h in alone})
+    cut, gram, window = lines.sizes(50)
+    told = collections.defaultdict(set)
+    for t, _, low, high in zip(*lines.selected(words, 50)):
+        told[t].add((low, high))
+    for n, text in enumerate(texts):
+        split, at, ends = [len(x.split()) for x in text.split(b"\n")], 0, set()
+        for size in split:
+            ends |= {at + size} if size else set()
+            for i in range(size - cut + 1):
+                near = alone[n][at + i : at + i + cut].tolist()
+                ends.add(at + i + near.index(min(near)) + 1)
+            at += size
+        ends = sorted(ends)
+        starts = [0, *ends[:-1]]
+        reach = lambda s, k: next((e for e in ends if e >= s + k), None)  # noqa: B023, E731
+        want = {(s, reach(s, gram)) for s in starts} - {(s, None) for s in starts}
+        assert told[n] <= want
+        for s in starts:  # every window has a selected gram
+            if (end := reach(s, window)) is not None:
+                assert any(s <= a and b <= end for a, b in told[n])
 
 
 def test_lines_on_edges(spark, edge_docs, no_docs):
     rows = {(r.doc_id, r.text): r for r in lines.deduplicated(edge_docs, least_words=3).collect()}
-    assert (0, None) in rows and rows[(None, "a null id")].removed_lines == 0
+    assert (0, None) in rows and rows[(None, "a null id")].removed_lines == 0 and rows[(3, "\n\n")].removed_words == 0
     assert rows[(9, "same text here for all")].removed_lines == 0 and rows[(10, "")].removed_lines == 1
+    assert (6, "word word word") in rows
     assert lines.deduplicated(edge_docs).count() == edge_docs.count() and lines.deduplicated(no_docs).count() == 0
 
 
