@@ -136,10 +136,22 @@ def selected(words: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     beyond = np.searchsorted(last, close[whole], side="right")
     least_rank = np.minimum.reduceat(rank, np.stack([whole, beyond], axis=1).ravel())[::2]
     chosen = np.unique(order[least_rank])
+    chosen = chosen[_apart(hashed[chosen], starts[chosen], ends[last[chosen]])]
     base = words.first[text[chosen]]
     return text[chosen], hashed[chosen].view(np.int64), (starts[chosen] - base).astype(np.int32), (ends[last[chosen]] - base).astype(np.int32)
 
 
+def _apart(hashed: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of a chain of equal grams that overlap the first two and those that don't overlap the last one taken: a run that repeats itself needs no gram for each word."""
+    keep = np.ones(len(hashed), bool)
+    chained = np.concatenate(([False], (hashed[1:] == hashed[:-1]) & (low[1:] < high[:-1])))
+    upto = 0
+    for i in np.flatnonzero(chained).tolist():
+        keep[i] = not chained[i - 1] or low[i] >= upto
+        upto = high[i] if keep[i] else upto
+    return np.flatnonzero(keep)
+
+
 def _encoded(texts: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
 
@@ -230,17 +242,18 @@ def without(text: str, spans: list[dict], least: int) -> tuple[str, int, int]:
             gone[max(low, low - span["shift"] + least) if span["own"] else low : high] = True
     if not gone.any():
         return text, 0, 0
-    out, at = [], 0
-    for i, line in enumerate(raw.split(b"\n")):
-        low, high = np.searchsorted(words.line, (i, i + 1))
-        lost = gone[low:high]
-        if lost.any() and not lost.all():
+    lines, out, at = raw.split(b"\n"), [], 0
+    ends = np.searchsorted(words.line, np.arange(len(lines) + 1)).tolist()
+    totals = np.concatenate(([0], np.cumsum(gone))).tolist()
+    for line, low, high in zip(lines, ends, ends[1:]):
+        lost = totals[high] - totals[low]
+        if 0 < lost < high - low:
             kept, cut = [], 0
-            for w in np.flatnonzero(lost) + low:
+            for w in (np.flatnonzero(gone[low:high]) + low).tolist():
                 kept.append(line[cut : words.start[w] - at])
                 cut = (words.start[w + 1] if w + 1 < high else at + len(line)) - at
             out.append((b"".join(kept) + line[cut:]).rstrip())
-        elif not (lost.all() if low < high else 0 < low < len(gone) and gone[low - 1] and gone[low]):
+        elif not (lost if low < high else 0 < low < len(gone) and gone[low - 1] and gone[low]):
             out.append(line)
         at += len(line) + 1
     return b"\n".join(out).decode(), len(np.unique(words.line[gone])), int(gone.sum())
