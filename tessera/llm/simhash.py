@@ -9,9 +9,11 @@ Hamming distance give every link once. Exact copies of a fingerprint are one nod
 
 Where links must reach a Jaccard similarity, fingerprints alone don't tell: a pair of
 similarity 0.8 differs in about ten bits. Equal bands of min-hashes of the same shingles
-are candidates too (a pair of 0.8 shares one with probability 0.9996), and every
-candidate's similarity is computed. In a bucket of equal bands all are first compared
-with the least fingerprint; pairs whose components still differ then are compared each.
+are candidates too (a pair of 0.8 shares one with probability 0.9996) if a bit of each
+min-hash differs at no more than 22 of 100 places (0.9999), and every candidate's
+similarity is computed from the texts. In a bucket of equal bands or equal fingerprints
+all are first compared with the least node; pairs whose components still differ then are
+compared each. Equal texts are one node.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero; fewer words than the shingle width make one shingle of the
@@ -28,17 +30,20 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_size, written
+from tessera.llm.common import by_size, column, fresh, written
 from tessera.llm.components import components
 
 BITS = 64
 SEED = 42
 #: Bands of min-hashes and min-hashes a band.
 BANDS, ROWS = 20, 5
+#: Candidates differ in at most so many of the 100 min-hashes' bits: a pair of similarity 0.8 differs in 10 (deviation 3).
+SKETCH = 22
 _random = np.random.default_rng(SEED)
+_OWN = (np.arange(128) < BANDS * ROWS).astype(np.uint8)
 _FLIP, _TURN, _MIX = (_random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, (BANDS, ROWS)))
 
 
@@ -60,8 +65,8 @@ def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
         yield np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
 
 
-def _signature(text: str | None, width: int, banded: bool) -> tuple[int, list[int] | None]:
-    """The SimHash of a text's word shingles, as an unsigned integer, and the keys of its bands; a text without words has none."""
+def _signature(text: str | None, width: int, banded: bool) -> tuple[int, list[int] | None, tuple[int, int]]:
+    """The SimHash of a text's word shingles, as an unsigned integer, the keys of its bands (none without words) and a bit of each min-hash."""
     total, count, least = np.zeros(BITS, np.int64), 0, None
     for hashes in _hashes(text, width):
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -70,10 +75,11 @@ def _signature(text: str | None, width: int, banded: bool) -> tuple[int, list[in
         for i in range(0, len(hashes) if banded else 0, 512):
             low = ((hashes[i : i + 512, None] ^ _FLIP) * _TURN).min(axis=0)
             least = low if least is None else np.minimum(least, low)
-    keys = None
+    keys, sketch = None, (0, 0)
     if least is not None:
         keys = ((least.reshape(BANDS, ROWS) >> np.uint64(1)) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
-    return int.from_bytes(np.packbits(total * 2 > count).tobytes(), "big"), keys
+        sketch = tuple(np.packbits(np.resize((least >> np.uint64(7)) & np.uint64(1), 128).astype(np.uint8) * _OWN).view(np.int64).tolist())
+    return int.from_bytes(np.packbits(total * 2 > count).tobytes(), "big"), keys, sketch
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -82,19 +88,25 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, banded: bool = False) -> DataFrame:
-    """Columns (id_col, fp): the fingerprint as a signed long; with banded also bands, the keys of the bands of min-hashes."""
-    names = [id_col, "fp", "bands"] if banded else [id_col, "fp"]
+    """Columns (id_col, fp): the fingerprint as a signed long; with banded also bands, the keys of the bands of min-hashes, their bits s0 and s1, and the text's node."""
+    names = [id_col, "fp", "bands", "s0", "s1", "node"] if banded else [id_col, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
             found = [_signature(t.as_py(), width, banded) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array(np.fromiter((f for f, _ in found), np.uint64, len(found)).view(np.int64))]
+            columns = [batch.column(0), pa.array(np.fromiter((f for f, _, _ in found), np.uint64, len(found)).view(np.int64))]
             if banded:
-                columns.append(pa.array([keys for _, keys in found], pa.list_(pa.int64())))
+                columns += [pa.array([keys for _, keys, _ in found], pa.list_(pa.int64())), *(pa.array([s[i] for *_, s in found], pa.int64()) for i in (0, 1)), batch.column(2)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint" + (", bands array<bigint>" if banded else ""))
+    source = docs.select(column(id_col), column(text_col), *([_node(text_col)] if banded else []))
+    return source.mapInArrow(run, f"`{id_col}` {kind}, fp bigint" + (", bands array<bigint>, s0 bigint, s1 bigint, node bigint" if banded else ""))
+
+
+def _node(text_col: str) -> Column:
+    """What equal texts have in common."""
+    return F.xxhash64(F.coalesce(column(text_col), F.lit("")))
 
 
 def _segments(count: int) -> list[tuple[int, int]]:
@@ -137,16 +149,13 @@ def _shingles(text: str | None, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """Of linked fingerprints, those whose representatives' shingle sets have a Jaccard similarity of least or more."""
-    ends = pairs.select(F.col("left").alias("fp")).union(pairs.select("right")).distinct()
-    texts = (
-        nodes.join(ends, "fp", "left_semi").hint("merge").join(docs.select(F.col(id_col).alias("least_id"), F.col(text_col).alias("_text")), "least_id")
-        .select("fp", "_text").dropDuplicates(["fp"])
-    )
+def _similar(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """Of pairs of nodes (texts), those whose shingle sets have a Jaccard similarity of least or more."""
+    ends = pairs.select(F.col("left").alias("node")).union(pairs.select("right")).distinct()
+    texts = docs.select(_node(text_col).alias("node"), F.coalesce(column(text_col), F.lit("")).alias("text")).join(ends.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     both = (
-        pairs.join(texts.select(F.col("fp").alias("left"), F.col("_text").alias("a")), "left")
-        .join(texts.select(F.col("fp").alias("right"), F.col("_text").alias("b")), "right")
+        pairs.join(texts.select(F.col("node").alias("left"), F.col("text").alias("a")), "left")
+        .join(texts.select(F.col("node").alias("right"), F.col("text").alias("b")), "right")
         .select("left", "right", "a", "b")
     )
 
@@ -159,25 +168,35 @@ def _similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, t
     return both.mapInArrow(run, "left bigint, right bigint")
 
 
-def _similar_links(pairs: DataFrame, marked: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """Links of that similarity among the given pairs of fingerprints and those with an equal band."""
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "bands")
-    own = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    bands, _ = written(own.select("fp", F.posexplode("first.bands").alias("band", "key")), "bands")
-    buckets = bands.groupBy("band", "key").agg(F.min("fp").alias("left"), F.max("fp").alias("most")).where("left < most").drop("most")
+_ALIKE = f"bit_count(l.s0 ^ r.s0) + bit_count(l.s1 ^ r.s1) <= {SKETCH}"
+
+
+def _similar_links(marked: DataFrame, docs: DataFrame, text_col: str, width: int, radius: int, least: float) -> DataFrame:
+    """Links of that similarity among nodes with fingerprints within the radius, equal fingerprints or an equal band."""
+    own = marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.min("bands").alias("bands"))  # functions of the text
+    own, _ = written(own, "nodes")
+    by_fp = own.groupBy("fp").agg(F.min("node").alias("node"))
+    pairs = links(by_fp.select("fp"), radius)
+    pairs = pairs.join(by_fp.select(F.col("fp").alias("left"), F.col("node").alias("a")), "left").join(by_fp.select(F.col("fp").alias("right"), F.col("node").alias("b")), "right")
+    # Equal fingerprints are one more band.
+    keys = F.concat(F.coalesce("bands", F.array().cast("array<bigint>")), F.array(F.col("fp")))
+    bands, _ = written(own.select("node", "s0", "s1", F.posexplode(keys).alias("band", "key")), "bands")
+    first = F.min(F.struct("node", "s0", "s1")).alias("first")
+    buckets = bands.groupBy("band", "key").agg(first, F.max("node").alias("most")).where("first.node < most").select("band", "key", "first.*")
     buckets, _ = written(buckets, "buckets")
-    stars = bands.join(buckets, ["band", "key"]).where("left < fp").select("left", F.col("fp").alias("right"))
-    first, _ = written(pairs.union(stars).distinct(), "links")
-    near, _ = written(_similar(first, docs, nodes, id_col, text_col, width, least), "near")
-    labels = components(near, "left", "right", "fp", "label")
-    named = bands.join(buckets.select("band", "key"), ["band", "key"], "left_semi").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    stars = bands.alias("r").join(buckets.alias("l"), F.expr(f"l.band = r.band AND l.key = r.key AND l.node < r.node AND {_ALIKE}"))
+    stars = stars.select(F.col("l.node").alias("left"), F.col("r.node").alias("right"))
+    first, _ = written(pairs.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).union(stars).distinct(), "links")
+    near, _ = written(_similar(first, docs, text_col, width, least), "near")
+    labels = components(near, "left", "right", "node", "label")
+    named = bands.join(buckets.select("band", "key"), ["band", "key"], "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named, _ = written(named, "named")
     mixed = named.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("band", "key")
     left, _ = written(named.join(mixed, ["band", "key"], "left_semi"), "mixed")
-    meets = "l.band = r.band AND l.key = r.key AND l.fp < r.fp AND l.label <> r.label"
-    rest = left.alias("l").join(left.alias("r"), F.expr(meets)).select(F.col("l.fp").alias("left"), F.col("r.fp").alias("right")).distinct()
+    meets = f"l.band = r.band AND l.key = r.key AND l.node < r.node AND l.label <> r.label AND {_ALIKE}"
+    rest = left.alias("l").join(left.alias("r"), F.expr(meets)).select(F.col("l.node").alias("left"), F.col("r.node").alias("right")).distinct()
     rest, _ = written(rest.join(first, ["left", "right"], "left_anti"), "rest")
-    return near.union(_similar(rest, docs, nodes, id_col, text_col, width, least))
+    return near.union(_similar(rest, docs, text_col, width, least))
 
 
 def simhash_groups(
@@ -185,19 +204,21 @@ def simhash_groups(
 ) -> DataFrame:
     """One row per document: its id, fp (signed long), and component_id, the least id reachable by links.
 
-    With least_similarity, different fingerprints are linked if their representatives' shingle sets
-    reach that Jaccard similarity; candidates are those within the radius and those with an equal band.
+    With least_similarity, different texts are linked if their shingle sets reach that Jaccard
+    similarity; candidates are those with fingerprints within the radius and those with an equal band.
     """
     marked, _ = written(fingerprints(docs, id_col, text_col, width, least_similarity is not None), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    pairs = links(nodes.select("fp"), radius)
-    if least_similarity is not None:
-        pairs, _ = written(_similar_links(pairs, marked, docs, nodes, id_col, text_col, width, least_similarity), "similar")
-    labels = components(pairs, "left", "right", "fp", "label")
-    named = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    node = "fp" if least_similarity is None else "node"
+    nodes = marked.groupBy(node).agg(F.min(column(id_col)).alias("least_id"))
+    if least_similarity is None:
+        pairs = links(nodes.select("fp"), radius)
+    else:
+        pairs, _ = written(_similar_links(marked, docs, text_col, width, radius, least_similarity), "similar")
+    labels = components(pairs, "left", "right", node, "label")
+    named = nodes.join(labels, node, "left").withColumn("label", F.coalesce("label", node))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_fp = named.join(least, "label").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    by_node = named.join(least, "label").select(node, "component_id")
+    return marked.join(by_node, node).select(column(id_col), "fp", "component_id")
 
 
 def keep_one_of_each(
@@ -206,11 +227,12 @@ def keep_one_of_each(
     """The documents without near copies: of each component the one with the least id stays.
 
     Rows with a null id stay; of rows that repeat an id one stays only if its component is its own id's,
-    in which case all rows with that id stay.
+    in which case all rows with that id stay. Other columns are carried along whatever their names.
     """
-    groups = simhash_groups(docs, id_col, text_col, width, radius, least_similarity)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    groups = simhash_groups(docs.select(column(id_col), column(text_col)), id_col, text_col, width, radius, least_similarity)
+    name = fresh(docs, "gone")
+    gone = groups.where(column(id_col) != F.col("component_id")).select(column(id_col).alias(name)).distinct()
+    return docs.join(gone, column(id_col) == F.col(name), "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
