@@ -180,7 +180,7 @@ def test_marginals_and_expectations_match_enumeration():
                 yield from ([word[:n], *rest] for rest in cuts(word[n:]))
 
     words = [b" a", b" abab", b" bbaab", b" a" + b"ab" * 9, b" b"]
-    got, counts = lattice.marginals(words, logs[None])[0], np.zeros(len(pieces))
+    got, counts = lattice.marginals(words, logs), np.zeros(len(pieces))
     for w, g in zip(words, got):
         mass = [(c, math.exp(sum(logs[pieces.index(p)] for p in c))) for c in cuts(w)]
         total = sum(m for _, m in mass)
@@ -189,6 +189,17 @@ def test_marginals_and_expectations_match_enumeration():
             for p in c:
                 counts[pieces.index(p)] += m / total
     assert lattice.expected(words, logs) == pytest.approx(counts)
+    assert lattice.expected(words * 2, logs, np.array([1.0, 1, 1, 1, 1, 2, 2, 2, 2, 2])) == pytest.approx(3 * counts)
+
+
+def test_long_words_in_blocks_equal_the_plain_recursion():
+    pieces, logs = lattice_lm.vocabulary(PIECES)
+    plain, cut = lattice_lm.Lattice(pieces), lattice_lm.Lattice(pieces)
+    plain.LONG, cut.LONG, cut.SPAN, cut.SIDE = 10**9, 10, 32, 3
+    rng = random.Random(8)
+    words = [b" " + bytes(rng.choices(b"abcdefghijklmnothe \xc3\xa9", k=n)).replace(b" ", b"e") for n in (9, 10, 31, 32, 33, 64, 97, 500)] + [b" " + b"the" * 200]
+    assert cut.marginals(words, logs) == pytest.approx(plain.marginals(words, logs), rel=1e-12)
+    assert cut.expected(words, logs) == pytest.approx(plain.expected(words, logs), abs=1e-8)
 
 
 def test_lm_base_score_and_mixture(spark):
@@ -208,35 +219,51 @@ def test_lm_base_score_and_mixture(spark):
             count[None] += 1
     n, v = sum(count.values()), len(count)
     texts = {i: t for i, t, _ in docs}
-    better = []
     for r in got:
         tokens = (texts[r.doc_id] or "").encode().lower().split() + [None]
         assert r.base_score == pytest.approx(sum(math.log10((count[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(count[t] > 0 for t in tokens), n)
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
-        assert math.isfinite(r.score) and r.score < 0
-        better.append(r.score - r.base_score)
-    assert sum(better) > 0
+        assert math.isfinite(r.score) and r.score < 0 and math.isfinite(r.mixture_score) and r.mixture_score < 0
 
 
-def test_lm_matches_its_formula(spark):
-    """Brute force of the model for one class without fitting rounds."""
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_lm_matches_its_formula(spark, rounds):
+    """Brute force of both models: expected counts over all training words, then sums over all segmentations."""
     docs = [(i, t) for i, t in enumerate(["a cat sat", "a cat ran", "the dog", "a dog sat", "cat", "the the cat", "dogs", ""])]
-    got = {r.doc_id: r.score for r in lattice_lm.scored(frame(spark, docs, "doc_id bigint, text string"), PIECES, class_col=None, rounds=0).collect()}
+    got = {r.doc_id: r for r in lattice_lm.scored(frame(spark, docs, "doc_id bigint, text string"), PIECES, rounds=rounds).collect()}
     train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1]
     count = collections.Counter(w for t in train for w in t.encode().split())
     n, v = sum(count.values()) + len(train), len(count)
     ones, twos = (sum(c == k for c in count.values()) for k in (1, 2))
     d = min(0.95, max(0.1, ones / (ones + 2 * twos)))
     pieces, logs = lattice_lm.vocabulary(PIECES)
-    lattice = lattice_lm.Lattice(pieces)
+    weight = dict(zip(pieces, np.exp(logs)))
+
+    def cuts(word):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in weight:
+                yield from ([word[:k], *rest] for rest in cuts(word[k:]))
+
+    mass = lambda w: [(c, math.prod(weight[p] for p in c)) for c in cuts(b" " + w)]
+    for _ in range(rounds):
+        expected = collections.Counter()
+        for w, c in count.items():
+            whole = sum(m for _, m in mass(w))
+            for cut, m in mass(w):
+                for p in cut:
+                    expected[p] += c * m / whole
+        total = sum(expected.values()) + 1e-3 * len(pieces)
+        weight = {p: (expected[p] + 1e-3) / total for p in pieces}
     for i, t in docs:
-        want = math.log10(len(train) / n)
+        want = mixed = math.log10(len(train) / n)
         for w in t.encode().split():
-            spelt = math.exp(lattice.marginals([b" " + w], logs[None])[0, 0])
-            whole = max(count[w] - d, 0) / n + d * v / n * spelt
-            want += math.log10(max(count[w] - d, 0) / n + d * v / n * (whole + spelt) / 2)
-        assert got[i] == pytest.approx(want, rel=1e-5)
+            spelt = sum(m for _, m in mass(w))
+            want += math.log10(sum(count.values()) / n * spelt)
+            mixed += math.log10(max(count[w] - d, 0) / n + d * v / n * spelt)
+        assert got[i].score == pytest.approx(want, rel=1e-9) and got[i].mixture_score == pytest.approx(mixed, rel=1e-9)
 
 
 def test_lm_on_edges(spark, edge_docs, no_docs):
@@ -244,7 +271,7 @@ def test_lm_on_edges(spark, edge_docs, no_docs):
     assert len(rows) == edge_docs.count() and all(math.isfinite(r.score) for r in rows)
     assert lattice_lm.scored(no_docs, PIECES).count() == 0
     alone = [(i, "some words") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
-    rows = lattice_lm.scored(frame(spark, alone, "doc_id bigint, text string"), PIECES, class_col=None).collect()
+    rows = lattice_lm.scored(frame(spark, alone, "doc_id bigint, text string"), PIECES).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
 
 
