@@ -27,8 +27,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType
 
-from tessera.llm.common import by_size
+from tessera.llm.common import by_size, column, mapped, widened
 
 #: The white space of the split pattern.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -226,9 +227,8 @@ def encoded(docs: DataFrame, vocabulary: str, text_col: str = "text", packed: bo
             more = [pa.array(map(bpe.decode, found), pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(sizes), *more], [*kept, *new])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    kinds = ["binary" if packed else "array<int>", "bigint", "string"]
-    return docs.select(*kept).mapInArrow(run, ", ".join([*fields, *(f"`{c}` {k}" for c, k in zip(new, kinds))]))
+    kinds = [BinaryType() if packed else ArrayType(IntegerType()), LongType(), StringType()]
+    return mapped(docs.select(*map(column, kept)), run, widened(docs, kept, dict(zip(new, kinds))))
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +49,16 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where.getParent(), True)
 
 
+def widened(frame: DataFrame, kept: list[str], more: dict) -> StructType:
+    """The schema of some columns of a table and of new ones."""
+    return StructType([*(frame.schema[c] for c in kept), *(StructField(c, t) for c, t in more.items())])
+
+
+def mapped(frame: DataFrame, run, schema: StructType) -> DataFrame:
+    """mapInArrow, which fails for names with dots: run sees the columns by their places."""
+    return numbered(frame)[0].mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -76,6 +87,12 @@ def fresh(frame: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(frame: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1, ..., and the new name of each: what an operator adds then clashes with nothing."""
+    names = [f"c{i}" for i in range(len(frame.columns))]
+    return frame.toDF(*names), dict(zip(frame.columns, names))
+
+
 def by_size(batches, column: int, limit: int = 4 << 20):
     """Cut Arrow batches into slices of about limit bytes of a text column (one row at least), so that what is made of a slice stays small."""
     for batch in batches:

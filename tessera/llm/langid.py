@@ -7,7 +7,9 @@ averaged. Training runs on the driver on windows of a bounded sample of document
 
 Defined results: `und` with score 0 for a null text and for one without a letter, and
 for all texts if nothing could be learnt; null languages and null ids are never learnt
-from; a null id is not held out; an empty table gives no rows.
+from; a null id is not held out; repeated rows get the same answer, texts of any length
+are read as a whole; an empty table gives no rows. Other columns are carried along
+whatever their names, but lang_pred and score are replaced.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from tessera.llm.common import by_size, crc_bucket
+from tessera.llm.common import by_size, column, crc_bucket, mapped, widened
 
-#: About so many documents of each language are learnt from, and no more than so many in all.
-PER_LANG, SAMPLE = 1_000, 40_000
+#: About so many documents of each language are learnt from, and no more than so many in all; so many bytes of each,
+#: and so many languages, the most frequent ones.
+PER_LANG, SAMPLE, PIECE, LANGS = 1_000, 40_000, 4_096, 1_000
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -52,13 +56,11 @@ class ByteCnn:
         self.out_bias = np.zeros(len(langs), np.float32)
 
     def windows(self, raw: bytes) -> np.ndarray:
-        """All windows of a text, padded with zeros at the end, each with room for the widest filter."""
-        count = max(1, -(-len(raw) // self.WINDOW))
-        out = np.zeros((count, self.WINDOW + self.reach - 1), np.uint8)
-        flat = np.zeros(count * self.WINDOW, np.uint8)
+        """All windows of a text, each with the next bytes that the widest filter reaches, zeros behind the end."""
+        count, wide = max(1, -(-len(raw) // self.WINDOW)), self.WINDOW + self.reach - 1
+        flat = np.zeros(count * self.WINDOW + self.reach - 1, np.uint8)
         flat[: len(raw)] = np.frombuffer(raw, np.uint8)
-        out[:, : self.WINDOW] = flat.reshape(count, -1)
-        return out
+        return np.lib.stride_tricks.sliding_window_view(flat, wide)[:: self.WINDOW].copy()
 
     def _patches(self, x: np.ndarray) -> np.ndarray:
         e = self.embed[x]
@@ -138,29 +140,31 @@ def _readable(text: str | None) -> bytes | None:
     return text.encode().lower() if text and _LETTER.search(text) else None
 
 
-def fitted(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_lang: int = PER_LANG, sample: int = SAMPLE) -> ByteCnn | None:
+def fitted(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_lang: int = PER_LANG, sample: int = SAMPLE, piece: int = PIECE, most: int = LANGS) -> ByteCnn | None:
     """A network learnt from about per_lang documents of each language outside the held-out fold; None if there are none.
 
     A language's documents are drawn by a hash of the id with a probability that its number
     of documents gives, so no language is gathered in one task. Of a drawn document up to
-    4096 bytes from a place that the hash picks are sent to the driver.
+    `piece` bytes from a place that the hash picks are sent to the driver. At most the `most`
+    most frequent languages are learnt.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_bucket(F.col(id_col), FOLDS) != HELD_OUT))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}  # a row a language
+    named = docs.select(column(id_col).alias("id"), column(lang_col).alias("y"), column(text_col).alias("t"))
+    usable = named.where(F.col("y").isNotNull() & F.col("t").isNotNull() & (crc_bucket(F.col("id"), FOLDS) != HELD_OUT))
+    counts = {r[0]: r[1] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(most).collect()}
     if not counts:
         return None
     langs = sorted(counts)
     chance = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, per_lang / counts[k]))])
-    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.where(draw < chance[F.col(lang_col)]).select(F.col(lang_col).alias("y"), F.col(text_col).alias("t"), F.xxhash64(F.lit(1), id_col).alias("h"))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.where(draw < chance[F.col("y")]).select("y", "t", F.xxhash64(F.lit(1), "id").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 1):
             rows = []
             for y, t, h in zip(*(c.to_pylist() for c in batch.columns)):
                 if (raw := _readable(t)) is not None:
-                    at = h % max(1, len(raw) - 4096 + 1)
-                    rows.append((y, raw[at : at + 4096], h))
+                    at = h % max(1, len(raw) - piece + 1)
+                    rows.append((y, raw[at : at + piece], h))
             y, x, h = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.string()), pa.array(x, pa.binary()), pa.array(h, pa.int64())], ["y", "x", "h"])
 
@@ -187,8 +191,7 @@ def identified(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -
                 lang[some], score[some] = [net.langs[b] for b in best], p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    return docs.select(*kept).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return mapped(docs.select(*map(column, kept)), run, widened(docs, kept, {"lang_pred": StringType(), "score": DoubleType()}))
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:

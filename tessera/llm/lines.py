@@ -36,9 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType
 
-from tessera.llm.common import by_size, column, fresh, written
+from tessera.llm.common import by_size, column, fresh, mapped, widened, written
 
 #: Passages of at least so many words are found.
 LEAST_WORDS = 50
@@ -279,8 +279,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(words, pa.int64())], [*kept, "removed_lines", "removed_words"])
 
-    result = StructType([*(docs.schema[c] for c in kept), StructField("removed_lines", LongType()), StructField("removed_words", LongType())])
-    return joined.mapInArrow(run, result)
+    return mapped(joined, run, widened(docs, kept, {"removed_lines": LongType(), "removed_words": LongType()}))
 
 
 def op4_lines(spark, sf_dir: str) -> DataFrame:

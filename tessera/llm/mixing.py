@@ -17,7 +17,7 @@ texts are never shuffled.
 Defined results: null languages and sources are nodes named ''; a null text has no
 tokens; a leaf without tokens or of weight 0 gives nothing; rows with equal ids in a
 leaf share a place in the order and are taken or left together; an empty table gives
-no rows. Other columns are carried along.
+no rows. Other columns are carried along whatever their names, but epoch is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import numbered, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LEVELS = ("_domain", "_lang", "_source")
@@ -92,9 +92,10 @@ def mixed(
 
     share: the budget as a fraction of the tokens there are.
     """
-    # The ids get a name of their own, so that no column of the documents clashes.
-    named = docs.withColumns(dict(zip(LEVELS, (domain(F.col(source_col)), F.coalesce(F.col(lang_col), F.lit("")), F.coalesce(F.col(source_col), F.lit(""))))))
-    slim = named.select(F.col(id_col).alias("_id"), *LEVELS, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("n"))
+    named, at = numbered(docs)
+    source, blank = F.col(at[source_col]), F.lit("")
+    named = named.withColumns(dict(zip(LEVELS, (domain(source), F.coalesce(F.col(at[lang_col]), blank), F.coalesce(source, blank)))))
+    slim = named.select(F.col(at[id_col]).alias("_id"), *LEVELS, F.coalesce(F.regexp_count(F.col(at[text_col]), F.lit(WORDS)), F.lit(0)).cast("long").alias("n"))
     slim, _ = written(slim, "tokens")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     plan = allocations(leaves, weights, epochs, share).select(
@@ -113,8 +114,8 @@ def mixed(
     within = summed.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("key")))
     cuts = within.groupBy(*LEVELS, "end").agg(F.max(F.when(F.col("upto") <= F.col("room"), F.col("key"))).alias("last"))
     cuts, _ = written(plan.join(cuts, list(LEVELS)).select(*LEVELS, "whole", F.coalesce("last", "end").alias("last")), "cuts")
-    taken = named.join(cuts, list(LEVELS)).withColumn("_last", F.col("whole") - F.when(_order_key(seed, id_col) <= F.col("last"), 0).otherwise(1))
-    kept = [c for c in docs.columns if c != "epoch"]
+    taken = named.join(cuts, list(LEVELS)).withColumn("_last", F.col("whole") - F.when(_order_key(seed, at[id_col]) <= F.col("last"), 0).otherwise(1))
+    kept = [F.col(c).alias(name) for name, c in at.items() if name != "epoch"]
     return taken.where("_last >= 0").select(*kept, F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))).alias("epoch"))
 
 

@@ -9,7 +9,8 @@ Defined results: a null text counts as empty; it is scored like any other. Label
 that are null are ignored; with several labels of a document each counts. Without
 labels of both classes every score is the share of label 1 (0.5 without any). A null
 id is in no fold: it is not held out and never learnt from. An empty table gives no
-rows. Columns beside the id and the text are carried along or ignored.
+rows. Repeated rows are scored alike, texts of any length as a whole; other columns are
+carried along whatever their names, but score is replaced.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tessera.llm.common import by_size, crc_bucket
+from tessera.llm.common import by_size, column, crc_bucket, mapped, widened
 
 #: The most labelled documents that a fit uses: those with the smallest hash of the id.
 SAMPLE = 20_000
@@ -147,10 +149,10 @@ def _matrix(texts) -> np.ndarray:
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Trees:
     """Trees learnt from at most sample labelled documents outside the held-out fold, chosen by a hash of the id."""
-    usable = labels.where(F.col(label_col).isin(0, 1) & (crc_bucket(F.col(id_col), FOLDS) != HELD_OUT))
-    chosen = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
+    usable = labels.where(column(label_col).isin(0, 1) & (crc_bucket(column(id_col), FOLDS) != HELD_OUT))
+    chosen = usable.select(column(id_col).alias("id"), column(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     # At most `sample` rows of an id and a label: small enough to broadcast at any size of the corpus.
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("t"), "_label")
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("t")).join(F.broadcast(chosen), "id").select("t", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, 0):
@@ -173,8 +175,7 @@ def scored(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
         for batch in by_size(batches, place):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.score(_matrix(batch.column(place))))], [*kept, "score"])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
-    return docs.select(*kept).mapInArrow(run, ", ".join([*fields, "score double"]))
+    return mapped(docs.select(*map(column, kept)), run, widened(docs, kept, {"score": DoubleType()}))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -39,6 +41,29 @@ def no_docs(spark, edge_docs):
     return edge_docs.where("false")
 
 
+#: Names that operators use inside, and some that need quotes.
+CLASHES = ["_id", "_label", "_key", "_spans", "_gone", "gone", "_domain", "_lang", "_source", "_last", "whole", "last", "end", "room", "rest", "range", "n", "c0", "c1", "k", "a", "b", "id", "key", "low", "high",
+           "fp", "node", "label", "bands", "s0", "spans", "block", "number", "word", "count", "kind", "part", "v", "y", "t", "h", "text_", "a.b", "x y", "SHARE"]
+
+
+def test_columns_whose_names_clash_come_back(spark):
+    docs = [(i, f"some words number {i} and more", "en" if i % 2 else "fr", "src1", *[f"{name}{i}" for name in CLASHES]) for i in range(8)]
+    schema = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    table = frame(spark, docs, schema)
+    labels = frame(spark, [(i, i % 2, "x", "y") for i in range(8)], "doc_id bigint, quality int, id string, y string")
+    found = {
+        "lines": lines.deduplicated(table), "simhash": simhash.keep_one_of_each(table), "mixing": mixing.mixed(table),
+        "quality": quality.scored(table, quality.fitted(table, labels)), "bpe": bpe.encoded(table, VOCABULARY),
+        "langid": langid.identified(table, langid.fitted(table)),
+    }
+    for name, result in found.items():
+        rows = result.collect()
+        assert rows, name
+        for r in rows:
+            assert [r[c] for c in CLASHES] == [f"{c}{r.doc_id}" for c in CLASHES], name
+    assert lattice_lm.scored(table, PIECES).count() == simhash.simhash_groups(table).count() == 8
+
+
 # --- components ----------------------------------------------------------------
 
 
@@ -335,6 +360,8 @@ def test_cnn_windows_cover_the_text():
     net = langid.ByteCnn(["a", "b"])
     raw = bytes(range(1, 200)) * 5
     cut = net.windows(raw)
+    padded = raw + bytes(net.WINDOW + net.reach)
+    assert all(w.tobytes() == padded[i * net.WINDOW :][: net.WINDOW + net.reach - 1] for i, w in enumerate(cut))
     assert b"".join(w[: net.WINDOW].tobytes() for w in cut).rstrip(b"\0") == raw and len(net.windows(b"")) == 1
 
 
@@ -490,6 +517,8 @@ def test_pivots_match_brute_force(spark):
         label = np.minimum(label, np.where(near, label[None], len(x)).min(axis=1))
     assert np.mean([got[i].component_id == label[i] for i in range(len(x))]) > 0.98
     assert all(got[i].kept == (got[i].component_id == i) for i in range(len(x)))
+    exact = {r.vec_id: r for r in pivots.near_copies(vectors_table(spark, x), tile=64, exact=True).collect()}
+    assert all((exact[i].n_links, exact[i].component_id) == (near[i].sum(), label[i]) for i in range(len(x)))
     for i in (900, 901, 902, 903, 904):
         assert got[i].n_links == 0 and got[i].component_id == i
     assert got[905].n_links == got[906].n_links == 1 and got[None].n_links == 0
@@ -558,6 +587,21 @@ def test_ann_small_tables(spark):
     assert ann.nearest(vectors_table(spark, x).where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_ann_exact_and_other_lengths(spark):
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    more = [(1000 + i, [float(i), 1.0, -1.0], 0) for i in range(30)] + [(2000, [1.0] * 5, 0)]
+    for exact in (True, False):
+        got = collections.defaultdict(list)
+        for r in ann.nearest(vectors_table(spark, x, more), F.col("vec_id") % 20 == 0, exact=exact).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert set(got) == {*range(0, 300, 20), 1000, 1020}
+        assert got[1020] == [1000 + i for i in range(29, 8, -1) if i != 20]
+        if exact:
+            for q in range(0, 300, 20):
+                order = np.lexsort((np.arange(300), -(x * x[q]).sum(axis=1)))
+                assert got[q] == [i for i in order.tolist() if i != q][:20]
+
+
 # --- 6: archives ---------------------------------------------------------------
 
 
@@ -583,7 +627,8 @@ def test_zip_directory(zip64):
     import zipfile
 
     archive = wacz._Archive(zip64)
-    archive.add(wacz.record(1, "http://a/", b"payload", hashlib.sha1(b"payload").hexdigest(), 7, None), "response")
+    digest = hashlib.sha1(b"payload").hexdigest()
+    archive.add(wacz.record(1, "http://a/", b"payload", digest, 7, None), "response", "http://a/", digest)
     raw = archive.bytes()
     read = lambda at, n: raw[at : at + n]
     found = wacz.members(read, len(raw))
@@ -609,6 +654,39 @@ def test_zip64_end_records():
     assert wacz.members(lambda at, n: big[at : at + n], len(big)) == wacz.members(lambda at, n: raw[at : at + n], len(raw))
 
 
+def test_index_lines_are_cdxj():
+    line = wacz.cdxj("http://www.Example.com/A b?x=1", "ab" * 20, "response", 7, 9)
+    key, time, fields = line.split(" ", 2)
+    assert key == "com,example,www)/a%20b?x=1" and time == "20240101000000"
+    assert {"url", "digest", "filename", "offset", "length"} <= set(json.loads(fields))
+
+
+def test_archives_of_other_software(spark, tmp_path):
+    """Any member names, gzipped and plain records, a gzipped index, a member without an index, records that are no captures."""
+    import gzip
+    import zipfile
+
+    def warc(kind, more, block):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    digest = base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    one = gzip.compress(warc("response", f"WARC-Target-URI: http://a.org/\r\nWARC-Payload-Digest: sha1:{digest}\r\n", http + b"one"))
+    info = gzip.compress(warc("warcinfo", "", b"software: other"))
+    plain = warc("request", "", b"GET / HTTP/1.1\r\n\r\n") + warc("response", "WARC-Target-URI: http://b.org/\r\n", http + b"two") + warc("resource", "WARC-Target-URI: http://c.org/\r\n", b"three")
+    line = json.dumps({"url": "http://a.org/", "digest": f"sha1:{digest}", "filename": "rec-1.warc.gz", "offset": str(len(info)), "length": len(one)})
+    index = gzip.compress(b"!meta 0 {}\n") + gzip.compress(f"org,a)/ 20200102030405 {line}\n".encode())
+    with zipfile.ZipFile(tmp_path / "other.wacz", "w", zipfile.ZIP_STORED) as file:
+        for name, raw in (("pages/pages.jsonl", b"{}"), ("archive/rec-1.warc.gz", info + one), ("indexes/index.cdx.gz", index), ("archive/rec-2.warc", plain), ("archive/rec-3.warc.gz", info + one + one)):
+            file.writestr(name, raw)
+    rows = wacz.archive_records(frame(spark, [(f"file://{tmp_path}/other.wacz",)], "path string")).collect()
+    assert sorted((r.url, r.payload, r.record_type) for r in rows) == [
+        *[("http://a.org/", b"one", "response")] * 3, ("http://b.org/", b"two", "response"), ("http://c.org/", b"three", "resource")
+    ]
+    assert all(r.page_id is None and r.payload_digest == hashlib.sha1(r.payload).hexdigest() and r.payload_bytes == len(r.payload) for r in rows)
+    assert wacz._opened("dbfs:/a/b")[1] == "/dbfs/a/b"
+
+
 def test_broken_payload_is_found():
     raw = wacz.record(1, "http://a/", b"payload", hashlib.sha1(b"payload").hexdigest(), 7, None)
     with pytest.raises(ValueError):
