@@ -6,7 +6,8 @@ vectors that name it; two vectors of a list are candidates if they share enough
 pivots, and candidates are verified by their cosine in double precision. A pair is
 judged in one list only, that of the least pivot it shares. A list longer than a tile
 is cut into tiles and every pair of its tiles is a group of its own, so no group grows
-with the list and no pair is lost.
+with the list and no pair is lost. Two links' ends that share fewer pivots are missed;
+exact=True compares all vectors, tile by tile, and misses nothing.
 
 A group returns for each vector the number of links found and the least vector of its
 connected part of the group, never the pairs: the output is linear in the lists, and
@@ -33,8 +34,8 @@ from tessera.llm.components import components
 COSINE = 0.9
 #: Pivots a vector names, and how many of them a candidate pair must share.
 NAMED, SHARED = 12, 2
-#: The most pivots (a broadcast of MOST_PIVOTS x dimension doubles at most) and the rows of a tile.
-MOST_PIVOTS, TILE = 16_384, 2_048
+#: The most bytes of pivots (a broadcast; at 64 dimensions enough for 4e9 vectors) and the rows of a tile.
+PIVOT_BYTES, TILE = 128 << 20, 2_048
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -64,7 +65,7 @@ def _apart(units: np.ndarray, most: float = 0.8) -> np.ndarray:
 
 def _named(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """Adds the ordered pivots of each class."""
-    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # bounded by MOST_PIVOTS
+    shared = classes.sparkSession.sparkContext.broadcast(pivots)  # bounded by PIVOT_BYTES
 
     def run(batches):
         for batch in batches:
@@ -93,23 +94,27 @@ def _group(table: pa.Table, least: float, shared: int) -> pa.Table:
     copies = table.column("copies").to_numpy()
     x = _unit(_matrix(table.column("v").combine_chunks()))
     flat = table.column("pivots").combine_chunks()
-    owner = np.repeat(np.arange(len(name)), np.diff(flat.offsets.to_numpy()))
-    codes, place = np.unique(flat.values.to_numpy(), return_inverse=True)
-    mark = np.zeros((len(name), len(codes)), np.float32)
-    mark[owner, place] = 1
-    earlier = codes < pivot
+    counts = np.diff(flat.offsets.to_numpy())
+    named = np.full((len(name), counts.max()), -1, np.int32)
+    named[np.arange(named.shape[1]) < counts[:, None]] = flat.values.to_numpy()
     a = np.flatnonzero(tile == left)
     b = a if left == right else np.flatnonzero(tile == right)
     first, second = [], []
     for i in range(0, len(a), 512):
         rows = a[i : i + 512]
-        candidate = (mark[rows][:, earlier] @ mark[b][:, earlier].T == 0) & (mark[rows] @ mark[b].T >= min(shared, len(codes)))
+        # The cosines cost less than the counts of shared pivots, so these are taken of pairs that are near enough.
+        near = x[rows] @ x[b].T >= least
         if left == right:
-            candidate &= rows[:, None] < b[None, :]
-        candidate &= x[rows] @ x[b].T >= least
-        p, q = np.nonzero(candidate)
-        first.append(rows[p])
-        second.append(b[q])
+            near &= rows[:, None] < b[None, :]
+        p, q = np.nonzero(near)
+        p, q = rows[p], b[q]
+        for k in range(0, len(p), 1 << 16):
+            one, other = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+            both = (named[one][:, :, None] == named[other][:, None, :]).any(axis=2) & (named[one] >= 0)
+            earlier = (both & (named[one] < pivot)).any(axis=1)
+            keep = ~earlier & (both.sum(axis=1) >= np.minimum(shared, np.minimum(counts[one], counts[other])))
+            first.append(one[keep])
+            second.append(other[keep])
     p, q = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (first, second))
     links = np.bincount(p, weights=copies[q], minlength=len(name)) + np.bincount(q, weights=copies[p], minlength=len(name))
     root, before = name.copy(), None
@@ -122,17 +127,20 @@ def _group(table: pa.Table, least: float, shared: int) -> pa.Table:
 
 
 def near_copies(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = COSINE, shared: int = SHARED, tile: int = TILE
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = COSINE, shared: int = SHARED, tile: int = TILE, exact: bool = False
 ) -> DataFrame:
-    """One row per vector: its id, n_links, component_id (the least id reachable) and kept (it is its component's least)."""
+    """One row per vector: its id, n_links, component_id (the least id reachable) and kept (it is its component's least).
+
+    exact: all vectors are in one list, so every pair is compared, at a cost that grows with the square of the table.
+    """
     spark = vectors.sparkSession
     fit = F.col(id_col).isNotNull() & usable_vector(F.col(vector_col))
     slim = vectors.select(F.col(id_col), F.when(fit, F.col(vector_col)).alias("v"))
     classes, _ = written(slim.where("v IS NOT NULL").groupBy("v").agg(F.min(id_col).cast("bigint").alias("class"), F.count(F.lit(1)).alias("copies")).select("class", "v", "copies"), "classes")
-    n = classes.count()
-    many = min(MOST_PIVOTS, max(16, math.ceil(4 * math.sqrt(n))))
+    n, widest = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    many = min(max(16, PIVOT_BYTES // (8 * widest)), max(16, math.ceil(4 * math.sqrt(n))))
     chosen: dict[int, list] = {}
-    for row in classes.orderBy(F.xxhash64("class"), "class").limit(many).select("v").collect():
+    for row in [] if exact else classes.orderBy(F.xxhash64("class"), "class").limit(many).select("v").collect():
         chosen.setdefault(len(row.v), []).append(row.v)
     pivots = {size: _apart(_unit(np.array(rows, np.float64))) for size, rows in chosen.items()}
     named, _ = written(_named(classes, pivots), "named")
