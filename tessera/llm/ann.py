@@ -18,9 +18,10 @@ vectors are one entry with the smallest ids that any query can need, so a vector
 copies don't fill a cell, and nothing is lost.
 
 Defined results: vectors that are null, empty or zero or hold null or non-finite
-components, or whose id is null, take no part, nor do vectors whose length is not the
-most frequent one; a query gets all other rows if there are fewer than k; queries that
-the probes leave with fewer than k or below the estimate are searched again through all parts; rows that
+components, or whose id is null, take no part; a query's candidates are the vectors of its
+own length (hashes serve the most frequent length, others are searched exactly); a query
+gets all its candidates if there are fewer than k; queries that the probes leave with fewer
+than k or below the estimate are searched again through all parts; rows that
 repeat an id are one candidate; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -129,12 +130,12 @@ class Hashes:
         return [np.unique(np.concatenate(x)) if whole else np.empty(0, np.int64) for x, whole in zip(out, reached)]
 
 
-_ROW = "part int, kind int, id bigint, v binary, ids array<bigint>"
+_ROW = "part bigint, kind int, id bigint, v binary, ids array<bigint>"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows))
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "kind", "id", "v", "ids"])
 
 
@@ -170,20 +171,16 @@ def _bars(queries: DataFrame, hashes) -> DataFrame:
 
 
 def _asked(queries: DataFrame, hashes, parts: int) -> DataFrame:
-    """Kind 1: each query in each part that it probes; ids are the cells. hashes None: in every part, without cells."""
+    """Kind 1: each query in each part that it probes; ids are the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 64):
                 batch = whole.slice(i, 64)
                 q = _vectors(batch.column(0))
-                probes = hashes.value.probes(q) if hashes else None
-                rows = []
+                probes, rows = hashes.value.probes(q), []
                 for j, name in enumerate(batch.column(1).to_pylist()):
                     vector = q[j].tobytes()
-                    if probes is None:
-                        rows += [(p, 1, name, vector, None) for p in range(parts)]
-                        continue
                     where = probes[j] % parts
                     order = np.argsort(where, kind="stable")
                     cuts = np.flatnonzero(np.diff(where[order])) + 1
@@ -193,6 +190,32 @@ def _asked(queries: DataFrame, hashes, parts: int) -> DataFrame:
     return queries.select("v", "id").mapInArrow(run, _ROW)
 
 
+def _exactly(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Partial results of the queries over all entries of their length, which are dealt out to parts of bounded bytes."""
+    sizes = entries.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("size", F.ceil(F.col("n") * 8 * F.col("size") / F.lit(PART_BYTES)).cast("int").alias("parts"))
+    split = entries.select("v", "ids", F.size("v").alias("size")).join(sizes, "size").select("v", "ids", F.xxhash64("size", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("part"))
+    every = queries.select("v", "id", F.size("v").alias("size")).join(sizes, "size")
+    every = every.select("v", "id", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("at")).select("v", "id", F.xxhash64("size", "at").alias("part"))
+
+    def packed(kind: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for v, own, p in zip(*(c.to_pylist() for c in batch.columns)):
+                    rows.append((p, kind, 0 if kind == 0 else own, np.array(v, np.float64).tobytes(), own if kind == 0 else None))
+                    if len(rows) == 1000:
+                        yield _batch(rows)
+                        rows.clear()
+            if rows:
+                yield _batch(rows)
+
+        rows: list[tuple] = []
+        return run
+
+    dealt = split.mapInArrow(packed(0), _ROW).union(every.mapInArrow(packed(1), _ROW))
+    return _searched(dealt.repartition("part").sortWithinPartitions("part", "kind"), k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def _best(x: np.ndarray, ids: list, rows: np.ndarray, rough: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
     """The k nearest (score, id) of the entries in rows with these rough scores, ties to the smaller id, the query's own id left out."""
     if len(rows) > k + 1:
@@ -249,8 +272,11 @@ def _searched(dealt: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
-    """For each row that the condition names its k nearest others by inner product: query_id, rank, vec_id, score."""
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, exact: bool = False) -> DataFrame:
+    """For each row that the condition names its k nearest others by inner product: query_id, rank, vec_id, score.
+
+    exact: no hashing, every query is compared with all vectors.
+    """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     usable = vectors.where(F.col(id_col).isNotNull() & usable_vector(F.col(vector_col)))
@@ -259,39 +285,37 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     if lengths is None:
         return empty
     dim = lengths["size"]
-    slim, _ = written(slim.where(F.size("v") == dim).dropDuplicates(["id", "v"]), "vectors")
+    slim, _ = written(slim.dropDuplicates(["id", "v"]), "vectors")
     # Of equal vectors no query needs more than the k + 1 smallest ids.
     ranked = slim.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     entries, _ = written(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "entries")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = slim.where("asked").select("v", "id")
+
+    def ranks(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if exact:
+        return ranks(_exactly(entries, asked, k))
+    whole, wanted, other = entries, asked.where(F.size("v") == dim), asked.where(F.size("v") != dim)
+    entries = entries.where(F.size("v") == dim)
     squares = F.aggregate("v", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))
     n, longest = entries.agg(F.count(F.lit(1)), F.sqrt(F.max(squares))).first()
     first = F.col("ids")[0]
     sample = entries.orderBy(F.xxhash64(first), first).limit(SAMPLE).select("v").collect()
     hashes = spark.sparkContext.broadcast(Hashes(np.array([r.v for r in sample], np.float64), longest, n, k))  # bounded: the sample and the projections
     parts = max(8, math.ceil(n * TABLES * 8 * dim / PART_BYTES))
-    wanted = slim.where("asked").select("v", "id")
     dealt = _entries(entries, hashes, parts).union(_asked(wanted, hashes, parts)).repartition(parts, "part").sortWithinPartitions("part", "kind")
     found, _ = written(_searched(dealt, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    reached = found.withColumn("r", F.row_number().over(last)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
+    reached = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
     bars = _bars(wanted, hashes).groupBy("id").agg(F.max("bar").alias("bar"))
     slack = 1e-9 * (1 + F.abs("bar"))  # the bar's scores are summed in another order
     done = reached.join(bars, F.col("id") == F.col("query_id")).where((F.col("bar") == float("-inf")) | (F.col("kth") >= F.col("bar") - slack)).select("query_id")
     short = wanted.join(done, F.col("id") == F.col("query_id"), "left_anti")
-    short, _ = written(short, "short")
+    short, _ = written(short.unionByName(other), "short")
     if not short.isEmpty():
-        all_parts = max(8, math.ceil(n * 8 * dim / PART_BYTES))
-        once = entries.select("v", "ids", F.pmod(F.xxhash64("v"), F.lit(all_parts)).cast("int").alias("part"))
-
-        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = _vectors(batch.column(0))
-                yield _batch([(p, 0, 0, v.tobytes(), own) for v, own, p in zip(x, batch.column(1).to_pylist(), batch.column(2).to_pylist())])
-
-        again = once.mapInArrow(plain, _ROW).union(_asked(short, None, all_parts)).repartition(all_parts, "part").sortWithinPartitions("part", "kind")
-        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_searched(again, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_exactly(whole, short, k))
+    return ranks(found)
 
 
 def op7_ann(spark, sf_dir: str) -> DataFrame:
