@@ -1,19 +1,26 @@
 """WARC records in ZIP-packaged archives: written, indexed and read back by ranges.
 
 An archive is a ZIP of stored members: ``archive/data.warc.gz`` (every record a gzip
-member of its own), ``indexes/index.cdxj`` (a line a record: its type, offset and
-length) and ``datapackage.json``. The reader parses the end of the ZIP, the central
-directory and their ZIP64 forms, finds the stored members, reads the index and then
-only the ranges of the records; nothing is extracted.
+member of its own), ``indexes/index.cdxj`` (CDXJ: a sorted line a record, with its key,
+its time and a JSON object of url, digest, filename, offset and length) and
+``datapackage.json``. The reader parses the end of the ZIP, the central directory and
+their ZIP64 forms, finds the stored members under ``archive/`` and the indexes under
+``indexes/`` (also gzipped ones), and then reads only the ranges of the records; nothing
+is extracted. It reads archives of other software too: any names of WARC members, gzipped
+or not; members that no index names are read from end to end; records other than
+responses, resources and revisits are passed over.
 
 Files are opened through Arrow's file systems, by URI, on the executors. A failed
 attempt may leave an archive behind that no table names; a finished one is listed in
-the table of archives that is written to the shared folder.
+the table of archives that is written to the shared folder. Archives are read by a number
+of tasks that the session's partitions and the number of archives set.
 
 Defined results: a null payload is empty; a null url writes no target; a null id is
 written as an empty name and read as null; a page that repeats an id and its payload
-gives records of the same kind; an empty table gives no archives and no records.
-Other columns are ignored.
+gives records of the same kind; repeated rows give a record each; a payload of any
+length is one record; an empty table gives no archives and no records. Other columns are
+ignored whatever their names. Of records of other software page_id and refers_to are
+null, a digest that is missing is computed.
 """
 
 from __future__ import annotations
@@ -34,24 +41,37 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_size, shared_dir, written
+from tessera.llm.common import by_size, shared_dir, shuffle_partitions, written
 
 #: Payloads of at least so many bytes are stored once.
 LEAST = 1000
 #: An archive is closed when its records take so many bytes.
 ARCHIVE = 24 << 20
-DATE = "2024-01-01T00:00:00Z"
+#: Bytes of records that are held at once.
+STEP = 4 << 20
+DATE, _TIME = "2024-01-01T00:00:00Z", "20240101000000"
 _RECORDS, _INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _NAME = "urn:page:"
 
 
+#: Names that Spark has for stores that Arrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "hdfs", "abfss": "abfs"}
+
+
 def _opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "dbfs":  # mounted on every machine
+        return pyarrow.fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + colon + rest)
 
 
 # --- records -------------------------------------------------------------------
 
 
+def _quoted(url: str) -> str:
+    return urllib.parse.quote(url, safe="".join(map(chr, range(33, 127))).replace("%", ""))
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     """A response record, or the revisit record of a payload that another page's record holds."""
     name = lambda i: f"<{_NAME}{'' if i is None else i}>"
@@ -62,7 +82,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.insert(4, f"WARC-Target-URI: {urllib.parse.quote(url, safe=''.join(map(chr, range(33, 127))).replace('%', ''))}")
+        head.insert(4, f"WARC-Target-URI: {_quoted(url)}")
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -73,25 +93,45 @@ def _fields(lines: bytes) -> dict[str, str]:
     return {k.strip().lower().decode(): v.strip().decode() for k, v in pairs}
 
 
-def parsed(raw: bytes) -> dict:
-    """The parts of a record; a response's payload is checked against its digest."""
+def _sha1(told: str | None) -> str | None:
+    """A digest as bare hexadecimal digits; None for none or another algorithm."""
+    kind, _, value = (told or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value).hex()
+
+
+def parsed(raw: bytes) -> dict | None:
+    """The parts of a record, None if it is no capture; a response's payload is checked against its digest."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/"):
         raise ValueError("no WARC record")
     told = _fields(head)
-    http, _, payload = rest[: int(told["content-length"])].partition(b"\r\n\r\n")
-    digest = base64.b32decode(told["warc-payload-digest"].removeprefix("sha1:")).hex()
     kind = told["warc-type"]
-    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+    if kind not in ("response", "resource", "revisit"):
+        return None
+    block = rest[: int(told["content-length"])]
+    http, _, payload = block.partition(b"\r\n\r\n") if kind != "resource" else (b"", b"", block)
+    digest, found = _sha1(told.get("warc-payload-digest")), hashlib.sha1(payload).hexdigest()
+    if kind != "revisit" and digest not in (None, found):
         raise ValueError(f"payload of {told['warc-record-id']} doesn't match its digest")
-    page = lambda x: int(n) if x and (n := x.strip("<>").removeprefix(_NAME)) else None
-    url = told.get("warc-target-uri")
+    page = lambda x: int(n) if x and (n := x.strip("<>").removeprefix(_NAME)).lstrip("-").isdecimal() else None
+    url, size = told.get("warc-target-uri"), _fields(http).get("content-length", "")
     return {
         "page_id": page(told["warc-record-id"]), "url": None if url is None else urllib.parse.unquote(url), "record_type": kind, "refers_to": page(told.get("warc-refers-to")),
-        "payload_digest": digest, "payload_bytes": int(_fields(http)["content-length"]), "payload": payload if kind == "response" else None,
+        "payload_digest": digest or found, "payload_bytes": int(size) if kind == "revisit" and size.isdecimal() else len(payload), "payload": None if kind == "revisit" else payload,
     }
 
 
+def cdxj(url: str | None, digest: str, kind: str, offset: int, length: int) -> str:
+    """The index line of a record: the key (the host from its end on, the path), the time, a JSON object."""
+    parts = urllib.parse.urlsplit(_quoted(url)) if url is not None else None
+    key = "-" if parts is None else ",".join(reversed((parts.hostname or "").split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    fields = {"url": None if url is None else _quoted(url), "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200", "digest": f"sha1:{digest}",
+              "length": str(length), "offset": str(offset), "filename": _RECORDS.rpartition("/")[2]}
+    return f"{key.lower()} {_TIME} {json.dumps(fields)}"
+
+
 # --- ZIP -----------------------------------------------------------------------
 
 
@@ -152,10 +192,10 @@ class _Archive:
     def __init__(self, zip64: bool = False):
         self.records, self.index, self.at, self.zip64 = [], [], 0, zip64
 
-    def add(self, raw: bytes, kind: str) -> None:
+    def add(self, raw: bytes, kind: str, url: str | None, digest: str) -> None:
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
         packed = packer.compress(raw) + packer.flush()
-        self.index.append(json.dumps({"type": kind, "offset": self.at, "length": len(packed)}))
+        self.index.append(cdxj(url, digest, kind, self.at, len(packed)))
         self.records.append(packed)
         self.at += len(packed)
 
@@ -163,7 +203,7 @@ class _Archive:
         out = io.BytesIO()
         package = {"profile": "data-package", "resources": [{"path": _RECORDS}, {"path": _INDEX}]}
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as file:
-            for name, parts in ((_RECORDS, self.records), (_INDEX, ["\n".join(self.index).encode()]), ("datapackage.json", [json.dumps(package).encode()])):
+            for name, parts in ((_RECORDS, self.records), (_INDEX, ["".join(f"{line}\n" for line in sorted(self.index)).encode()]), ("datapackage.json", [json.dumps(package).encode()])):
                 with file.open(zipfile.ZipInfo(name), "w", force_zip64=self.zip64) as member:
                     for part in parts:
                         member.write(part)
@@ -196,7 +236,7 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
         made, archive = [], _Archive()
         for batch in by_size(batches, 2):
             for i, url, content, digest, size, refers in zip(*(c.to_pylist() for c in batch.columns)):
-                archive.add(record(i, url, (content or "").encode(), digest, size, refers), "response" if refers is None else "revisit")
+                archive.add(record(i, url, (content or "").encode(), digest, size, refers), "response" if refers is None else "revisit", url, digest)
                 if archive.at >= ARCHIVE:
                     made.append((_saved(archive, folder), len(archive.index)))
                     archive = _Archive()
@@ -207,6 +247,72 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
     return written(told.mapInArrow(run, "path string, records bigint"), "archives")[0]
 
 
+def _indexed(read: Callable[[int, int], bytes], found: dict[str, tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """Of each WARC member that an index names the ranges of its records."""
+    ranges: dict[str, list[tuple[int, int]]] = {}
+    for name, member in found.items():
+        if name.startswith("indexes/") and name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+            index = read(stored_at(read, member), member[2])
+            while index:
+                text, index = _gunzipped(index) if name.endswith(".gz") else (index, b"")
+                for line in text.decode().splitlines():
+                    if "{" in line and not line.startswith("!"):
+                        entry = json.loads(line[line.index("{") :])
+                        owner = next((n for n in (entry["filename"], f"archive/{entry['filename']}") if n in found), None)
+                        if owner is None:
+                            raise ValueError(f"the index names {entry['filename']}, which the archive lacks")
+                        ranges.setdefault(owner, []).append((int(entry["offset"]), int(entry["length"])))
+    return {name: sorted(set(places)) for name, places in ranges.items()}
+
+
+def _gunzipped(raw: bytes) -> tuple[bytes, bytes]:
+    """The first gzip member's bytes and what follows it."""
+    unpacker = zlib.decompressobj(31)
+    out = unpacker.decompress(raw) + unpacker.flush()
+    if not unpacker.eof:
+        raise ValueError("a gzip member is cut off")
+    return out, unpacker.unused_data
+
+
+def _scanned(read: Callable[[int, int], bytes], start: int, size: int, packed: bool) -> Iterator[bytes]:
+    """All records of a WARC member from end to end, in steps of a few MB and never less than a record."""
+    at, held = 0, b""
+    while at < size or held:
+        chunk = read(start + at, min(STEP, size - at))
+        at, held = at + len(chunk), held + chunk
+        while held:
+            if packed:
+                unpacker = zlib.decompressobj(31)
+                out = unpacker.decompress(held)
+                if not unpacker.eof:
+                    break
+                rest = unpacker.unused_data
+            else:
+                head, end, body = held.partition(b"\r\n\r\n")
+                length = len(head) + 4 + int(_fields(head)["content-length"]) + 4 if end else len(held) + 1
+                if length > len(held):
+                    break
+                out, rest = held[:length], held[length:]
+            held = rest
+            yield out
+        if at >= size and held:
+            raise ValueError("a record is cut off")
+
+
+def _captures(read: Callable[[int, int], bytes], size: int) -> Iterator[bytes]:
+    """The records of an archive, as uncompressed bytes."""
+    found = members(read, size)
+    ranges = _indexed(read, found)
+    for name, member in found.items():
+        if name.startswith("archive/") and name.endswith((".warc", ".warc.gz")):
+            start, packed = stored_at(read, member), name.endswith(".gz")
+            if name not in ranges:
+                yield from _scanned(read, start, member[2], packed)
+            for offset, length in ranges.get(name, ()):
+                raw = read(start + offset, length)
+                yield _gunzipped(raw)[0] if packed else raw
+
+
 def archive_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the archives in a column path, read by their indexes' ranges."""
     kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_digest": pa.string(), "payload_bytes": pa.int64()}
@@ -219,23 +325,20 @@ def archive_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
         for path in (p for batch in batches for p in batch.column(0).to_pylist()):
             files, name = _opened(path)
             with files.open_input_file(name) as file:
-                read = lambda at, n: file.read_at(n, at)  # noqa: B023, E731
-                found = members(read, file.size())
-                start = stored_at(read, found[_RECORDS])
-                index = read(stored_at(read, found[_INDEX]), found[_INDEX][2]).decode()
                 rows, size = [], 0
-                for line in index.splitlines():
-                    entry = json.loads(line)
-                    rows.append(parsed(zlib.decompress(read(start + entry["offset"], entry["length"]), 31)))
-                    size += entry["length"]
-                    if size > 1 << 20:
+                for raw in _captures(lambda at, n: file.read_at(n, at), file.size()):  # noqa: B023
+                    if (row := parsed(raw)) is not None:
+                        rows.append(row)
+                        size += len(raw)
+                    if size > STEP:
                         yield table(rows)
                         rows, size = [], 0
                 if rows:
                     yield table(rows)
 
     names = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
-    return archives.select("path").mapInArrow(run, ", ".join(f"{k} {names[t]}" for k, t in kinds.items()))
+    tasks = min(archives.count(), 32 * shuffle_partitions(archives.sparkSession))
+    return archives.select("path").repartition(max(1, tasks)).mapInArrow(run, ", ".join(f"{k} {names[t]}" for k, t in kinds.items()))
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -245,7 +348,6 @@ def archive_folder(spark: SparkSession) -> str:
 
 def op6_wacz(spark, sf_dir: str) -> DataFrame:
     archives = archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), archive_folder(spark))
-    archives = archives.repartition(max(1, archives.count()), "path")  # an archive is a task
     return archive_records(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
