@@ -136,6 +136,10 @@ def mapdomain(x, old, new) -> Column:
     return off + scale * _d(x)
 
 
+trimseq, as_series, trimcoef, mapparms = polyutils.trimseq, polyutils.as_series, polyutils.trimcoef, polyutils.mapparms
+set_default_printstyle = np.polynomial.set_default_printstyle
+
+
 class Series:
     """A series with domain and window; calling it with a column evaluates it there."""
 

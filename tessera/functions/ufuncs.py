@@ -477,12 +477,17 @@ def sinc(x):
     return F.when(_d(x) == 0, 1.0).otherwise(F.try_divide(F.sin(y), y))
 
 
-def i0(x, terms: int = 40):
-    """The modified Bessel function of order 0 by its power series: terms up to |x| of about 20 reach double precision."""
-    quarter = _d(x) * _d(x) / 4
-    step = lambda s, k: F.struct((s["t"] * quarter / (k * k)).alias("t"), (s["s"] + s["t"] * quarter / (k * k)).alias("s"))
-    ks = F.array(*[F.lit(float(k)) for k in range(1, terms + 1)])
-    return F.aggregate(ks, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), step)["s"]
+def i0(x):
+    """The modified Bessel function of order 0: its power series up to 30, beyond it the asymptotic one."""
+    size = F.abs(_d(x))
+
+    def summed(terms: int, ratio):
+        step = lambda s, k: F.struct((s["t"] * ratio(k)).alias("t"), (s["s"] + s["t"] * ratio(k)).alias("s"))
+        return F.aggregate(F.array(*[F.lit(float(k)) for k in range(1, terms + 1)]), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), step)["s"]
+
+    near = summed(70, lambda k: size * size / 4 / (k * k))
+    far = F.exp(size) / F.sqrt(2 * math.pi * size) * summed(20, lambda k: (2 * k - 1) * (2 * k - 1) / (8 * k * size))
+    return F.when(size <= 30, near).otherwise(far)
 
 
 def where(condition, x, y):

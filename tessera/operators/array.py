@@ -103,6 +103,51 @@ class NdArray:
             raise ValueError("only an array of size 1 is one item")
         return self.cells.first()["v"]
 
+    #: Bytes of a cell's value by type.
+    _BYTES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "struct<re:double,im:double>": 16}
+
+    @property
+    def itemsize(self) -> int:
+        return self._BYTES[self.dtype]
+
+    @property
+    def nbytes(self) -> int:
+        return self.size * self.itemsize
+
+    @property
+    def base(self):
+        """Arrays are values: none is a view of another."""
+        return None
+
+    def __copy__(self) -> NdArray:
+        return copy(self)
+
+    def __deepcopy__(self, memo) -> NdArray:
+        return copy(self)
+
+    def fill(self, value) -> NdArray:
+        """A new array of this shape and type with one value."""
+        return self.map(lambda v: F.lit(value).cast(self.dtype))
+
+    def tobytes(self) -> bytes:
+        """The values in row order as little-endian bytes; for arrays that fit the driver."""
+        import numpy as np
+
+        from tessera.functions.types import numpy_dtype
+
+        return np.array(self.tolist(), numpy_dtype(self.dtype)).tobytes()
+
+    def __iter__(self):
+        """The subarrays along the first axis."""
+        if not self.ndim:
+            raise TypeError("iteration over a 0-d array")
+        return (take_index(self, k) for k in range(self.shape[0]))
+
+    def __len__(self) -> int:
+        if not self.ndim:
+            raise TypeError("len() of unsized object")
+        return self.shape[0]
+
     def __add__(self, other):
         return self.zip(other, lambda a, b: a + b) if isinstance(other, NdArray) else self.map(lambda v: v + other)
 
@@ -222,6 +267,12 @@ def diag_indices(spark, n: int, ndim: int = 2):
     return [arange(spark, n)] * ndim
 
 
+def diag_indices_from(a: NdArray):
+    if a.ndim < 2 or len(set(a.shape)) != 1:
+        raise ValueError("All dimensions of input must be of equal length")
+    return diag_indices(a.spark, a.shape[0], a.ndim)
+
+
 def tril_indices(spark, n: int, k: int = 0, m: int | None = None) -> DataFrame:
     return tri(spark, n, m, k).cells.where("v = 1").select("i0", "i1")
 
@@ -268,6 +319,46 @@ def dense_rank_positions(frame: DataFrame, order: Sequence[Column], ranges: int
     return placed.join(F.broadcast(before), "_range").withColumn("pos", F.col("_before") + F.col("_row") - 1).drop("_range", "_before", "_row")  # a row a range
 
 
+def copy(a: NdArray) -> NdArray:
+    """Arrays don't change: a copy is a new name for the same cells."""
+    return NdArray(a.cells, a.shape)
+
+
+ascontiguousarray = asfortranarray = copy  # cells have no order in memory
+
+
+# --- what an object is: decided on the driver --------------------------------
+
+
+def iscomplexobj(a) -> bool:
+    return a.dtype.startswith("struct<re") if isinstance(a, NdArray) else isinstance(a, complex)
+
+
+def isrealobj(a) -> bool:
+    return not iscomplexobj(a)
+
+
+def isfortran(a: NdArray) -> bool:
+    """Cell tables have coordinates and no strides; none is in column order only."""
+    return False
+
+
+def isscalar(x) -> bool:
+    return isinstance(x, (int, float, complex, str, bytes, bool))
+
+
+def iterable(x) -> bool:
+    return (x.ndim > 0) if isinstance(x, NdArray) else hasattr(x, "__iter__")
+
+
+def shares_memory(a, b) -> bool:
+    """Whether both are read from the same plan; nothing written to one shows in the other."""
+    return isinstance(a, NdArray) and isinstance(b, NdArray) and a.cells.sameSemantics(b.cells)
+
+
+may_share_memory = shares_memory
+
+
 # --- shape ---------------------------------------------------------------------
 
 

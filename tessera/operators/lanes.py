@@ -9,41 +9,42 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators.array import NdArray, axis_names, reshape
+from tessera.operators.array import NdArray, linear, reshape, unlinear
 
-COMPLEX = "struct<re:double,im:double>"
-
-
-def _values(column: pd.Series) -> np.ndarray:
-    first = column.iloc[0]
-    if isinstance(first, dict):
-        return np.array([complex(x["re"], x["im"]) for x in column])
-    return column.to_numpy()
+#: Cells that a group of blocks holds, a block at least.
+CELLS = 1 << 16
 
 
 def blocks(a: NdArray, core: int, function, out_core: tuple[int, ...], complex_out: bool = False) -> NdArray:
-    """Apply a numpy function to the block over the last core axes of each group of leading coordinates."""
-    lead, inner = a.axes[: a.ndim - core], a.axes[a.ndim - core :]
-    shape = a.shape[a.ndim - core :]
-    names = axis_names(len(lead) + len(out_core))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        values = _values(group["v"])
-        block = np.zeros(shape, values.dtype)
-        block[tuple(group[n].to_numpy() for n in inner)] = values
-        found = np.asarray(function(block))
-        places = np.indices(found.shape).reshape(len(out_core), -1) if out_core else []
-        flat = found.ravel()
-        out = {n: np.full(flat.size, group[l].iloc[0]) for n, l in zip(names, lead)}
-        out |= {n: p for n, p in zip(names[len(lead) :], places)}
-        out["v"] = [{"re": float(z.real), "im": float(z.imag)} for z in flat] if complex_out else flat.astype(float)
-        return pd.DataFrame(out)
-
-    schema = ", ".join([*(f"{n} bigint" for n in names), f"v {COMPLEX if complex_out else 'double'}"])
-    return NdArray(a.cells.groupBy(*lead).applyInPandas(run, schema), (*a.shape[: a.ndim - core], *out_core))
+    """Apply a numpy function to the block over the last core axes of each group of leading coordinates.
+
+    Small blocks share a group, so that a group is not a call for a few numbers.
+    """
+    split = a.ndim - core
+    lead, shape = a.shape[:split], a.shape[split:]
+    size = math.prod(shape)
+    is_complex = a.dtype.startswith("struct")
+    value = [F.col("v.re").alias("re"), F.col("v.im").alias("im")] if is_complex else [F.col("v").alias("re")]
+    at = linear(a.axes[:split], lead)
+    cells = a.cells.select(F.floor(at / max(1, CELLS // max(1, size))).alias("g"), at.alias("l"), linear(a.axes[split:], shape).alias("p"), *value)
+
+    def run(group: pa.Table) -> pa.Table:
+        names, place = np.unique(group.column("l").to_numpy(), return_inverse=True)
+        values = group.column("re").to_numpy()
+        values = values + 1j * group.column("im").to_numpy() if is_complex else values
+        block = np.zeros((len(names), size), values.dtype)
+        block[place, group.column("p").to_numpy()] = values
+        found = np.stack([np.asarray(function(x.reshape(shape))) for x in block]).reshape(len(names), -1)
+        columns = {"l": np.repeat(names, found.shape[1]), "p": np.tile(np.arange(found.shape[1]), len(names)), "re": found.real.ravel().astype(float)}
+        return pa.table(columns | ({"im": found.imag.ravel().astype(float)} if complex_out else {}))
+
+    out = cells.groupBy("g").applyInArrow(run, "l bigint, p bigint, re double" + (", im double" if complex_out else ""))
+    inner = [c.alias(f"i{split + k}") for k, c in enumerate(unlinear(F.col("p"), out_core))]
+    value = F.struct("re", "im") if complex_out else F.col("re")
+    return NdArray(out.select(*unlinear(F.col("l"), lead), *inner, value.alias("v")), (*lead, *out_core))
 
 
 def along(a: NdArray, axis: int, function, length: int, complex_out: bool = False) -> NdArray:

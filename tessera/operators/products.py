@@ -299,8 +299,57 @@ def is_circulant(a: NdArray, tol: float = 0.0) -> bool:
     return _constant_along(a, F.pmod(F.col("i0") - F.col("i1"), F.lit(a.shape[0])), tol)
 
 
+def qr_orthonormal(a: NdArray) -> NdArray:
+    """Orthonormal columns that span those of a tall matrix: by the Cholesky factor of its Gramian, twice for accuracy."""
+    import numpy as np
+
+    from tessera.operators.array import array
+
+    for _ in range(2):
+        gram = np.array(matmul(transpose(a), a).tolist(), float)  # a cell a pair of columns
+        upper = np.linalg.cholesky(gram).T
+        a = matmul(a, array(a.spark, np.linalg.inv(upper).tolist()))
+    return a
+
+
+def detect_lowrank(a: NdArray, most: int = 32, tol: float = 1e-10, seed: int = 0):
+    """A LowRank operator if the matrix has a rank of `most` at most (up to tol of its norm), else None.
+
+    A randomised range finder: products with a few seeded random vectors span the range, an orthonormal
+    basis of them is one factor, its product with the matrix the other, and the residual decides.
+    """
+    import numpy as np
+
+    from tessera.operators.array import array
+    from tessera.operators.reduce import sum_
+
+    k = min(most + 4, *a.shape)
+    probes = array(a.spark, np.random.default_rng(seed).normal(size=(a.shape[1], k)).tolist())
+    sketch = matmul(a, probes)
+    values, vectors = np.linalg.eigh(np.array(matmul(transpose(sketch), sketch).tolist(), float))  # k by k, whatever the matrix
+    some = values > max(values[-1], 0) * 1e-14
+    rank = int(some.sum())
+    if rank == 0 or rank > most:
+        return None
+    basis = matmul(sketch, array(a.spark, (vectors[:, some] / np.sqrt(values[some])).tolist()))
+    rest = matmul(transpose(basis), a)
+    squares = lambda x: sum_(x.map(lambda v: v * v)).item()
+    left = squares(a.zip(matmul(basis, rest), lambda x, y: x - y))
+    return LowRank(basis, transpose(rest)) if left <= tol * squares(a) else None
+
+
+def certify(operator, a: NdArray, x: NdArray, most: float = 1e-9) -> float:
+    """The greatest error of an operator against the plain product with its matrix; an error above `most` is refused."""
+    from tessera.operators.reduce import max_
+
+    error = max_(operator.apply(x).zip(matvec(a, x), lambda p, q: F.abs(p - q))).item()
+    if not error < most:
+        raise ValueError(f"the operator differs from its matrix by {error}")
+    return error
+
+
 def detect(a: NdArray, tol: float = 1e-12):
-    """The simplest structure of a square matrix: diagonal, circulant, Toeplitz, or dense."""
+    """The simplest structure of a square matrix: diagonal, circulant, Toeplitz, of low rank, or dense."""
     from tessera.operators.array import diagonal, take_index
 
     if is_diagonal(a, tol):
@@ -311,4 +360,4 @@ def detect(a: NdArray, tol: float = 1e-12):
         n = a.shape[0]
         edge = a.cells.where("i0 = 0 OR i1 = 0").select((F.col("i0") - F.col("i1") + n - 1).alias("i0"), "v")
         return Toeplitz(NdArray(edge, (2 * n - 1,)), n)
-    return Dense(a)
+    return detect_lowrank(a, max(1, min(32, a.shape[0] // 4))) or Dense(a)

@@ -58,30 +58,30 @@ on_matrix("nd_reshape", lambda m: A.reshape(m, (-1, 25)), "SELECT (i0 * 100 + i1
 on_matrix("nd_ravel", A.ravel, "SELECT i0 * 100 + i1 AS i0, v FROM m")
 on_matrix("nd_moveaxis", lambda m: A.moveaxis(A.reshape(m, (-1, 10, 10)), 0, -1), "SELECT i1 // 10 AS i0, i1 % 10 AS i1, i0 AS i2, v FROM m")
 on_matrix("nd_expand_squeeze", lambda m: A.squeeze(A.expand_dims(m, 1)), "SELECT * FROM m")
-on_matrix("nd_broadcast_to", lambda m: A.broadcast_to(m[0], (3, 100)), "SELECT range AS i0, i1, v FROM m, range(3) WHERE i0 = 0")
+on_matrix("nd_broadcast_to", lambda m: A.broadcast_to(m, (3, *m.shape)), "SELECT range AS i0, i0 AS i1, i1 AS i2, v FROM m, range(3)")
 on_matrix("nd_flip", A.flip, "SELECT n - 1 - i0 AS i0, 99 - i1 AS i1, v FROM m, d")
 on_matrix("nd_rot90", A.rot90, "SELECT 99 - i1 AS i0, i0 AS i1, v FROM m")
 on_matrix("nd_roll", lambda m: A.roll(m, (2, -3), (0, 1)), "SELECT (i0 + 2) % n AS i0, (i1 + 97) % 100 AS i1, v FROM m, d")
-on_matrix("nd_tile", lambda m: A.tile(m[:2, :3], (2, 2)), "SELECT i0 + 2 * a.range AS i0, i1 + 3 * b.range AS i1, v FROM m, range(2) a, range(2) b WHERE i0 < 2 AND i1 < 3")
-on_matrix("nd_repeat", lambda m: A.repeat(m[0], 3), "SELECT i1 * 3 + range AS i0, v FROM m, range(3) WHERE i0 = 0")
+on_matrix("nd_tile", lambda m: A.tile(m, (2, 3)), "SELECT i0 + n * a.range AS i0, i1 + 100 * b.range AS i1, v FROM m, d, range(2) a, range(3) b")
+on_matrix("nd_repeat", lambda m: A.repeat(m, 3, 1), "SELECT i0, i1 * 3 + range AS i1, v FROM m, range(3)")
 on_matrix("nd_concatenate", lambda m: A.concatenate([m, m], 0), "SELECT * FROM m UNION ALL SELECT i0 + n, i1, v FROM m, d")
-on_matrix("nd_stack", lambda m: A.stack([m[0], m[1]], 1), "SELECT i1 AS i0, i0 AS i1, v FROM m WHERE i0 < 2")
+on_matrix("nd_stack", lambda m: A.stack([m, -m], 1), "SELECT i0, range AS i1, i1 AS i2, CASE WHEN range = 0 THEN v ELSE -v END AS v FROM m, range(2)")
 on_matrix("nd_hstack", lambda m: A.hstack([m, m]), "SELECT * FROM m UNION ALL SELECT i0, i1 + 100, v FROM m")
-on_matrix("nd_column_stack", lambda m: A.column_stack([m[0], m[1]]), "SELECT i1 AS i0, i0 AS i1, v FROM m WHERE i0 < 2")
-on_matrix("nd_dstack", lambda m: A.dstack([m[:2], m[:2]]), "SELECT i0, i1, range AS i2, v FROM m, range(2) WHERE i0 < 2")
+on_vector("nd_column_stack", lambda p: A.column_stack([p, -p]), "SELECT i0, range AS i1, CASE WHEN range = 0 THEN v ELSE -v END AS v FROM p, range(2)")
+on_matrix("nd_dstack", lambda m: A.dstack([m, -m]), "SELECT i0, i1, range AS i2, CASE WHEN range = 0 THEN v ELSE -v END AS v FROM m, range(2)")
 on_matrix("nd_array_split", lambda m: A.array_split(m, 7, 1)[3], "SELECT i0, i1 - 44 AS i1, v FROM m WHERE i1 >= 44 AND i1 < 58")
-on_matrix("nd_diag", lambda m: A.diag(m[0, :5], 1), "SELECT a.range AS i0, b.range AS i1, CASE WHEN b.range = a.range + 1 THEN (SELECT v FROM m WHERE m.i0 = 0 AND m.i1 = a.range) ELSE 0 END AS v FROM range(6) a, range(6) b")
+on_matrix("nd_diag", lambda m: A.diag(reduce.max_(m, 0), 1), ", c AS (SELECT i1, max(v) AS v FROM m GROUP BY i1) SELECT a.range AS i0, b.range AS i1, CASE WHEN b.range = a.range + 1 THEN c.v ELSE 0 END AS v FROM range(101) a CROSS JOIN range(101) b LEFT JOIN c ON c.i1 = a.range")
 on_matrix("nd_diagonal", A.diagonal, "SELECT i0, v FROM m WHERE i0 = i1")
 on_matrix("nd_tril", A.tril, "SELECT i0, i1, CASE WHEN i1 <= i0 THEN v ELSE 0 END AS v FROM m")
 on_matrix("nd_triu", lambda m: A.triu(m, 1), "SELECT i0, i1, CASE WHEN i1 > i0 THEN v ELSE 0 END AS v FROM m")
 on_matrix("nd_fill_diagonal", lambda m: A.fill_diagonal(m, -1.0), "SELECT i0, i1, CASE WHEN i0 = i1 THEN -1 ELSE v END AS v FROM m")
-on_matrix("nd_pad", lambda m: A.pad(m[:3, :4], 1), "SELECT a.range AS i0, b.range AS i1, coalesce(v, 0) AS v FROM range(5) a CROSS JOIN range(6) b LEFT JOIN m ON m.i0 = a.range - 1 AND m.i1 = b.range - 1 AND m.i0 < 3 AND m.i1 < 4")
-on_matrix("nd_insert", lambda m: A.insert(m[0], 2, m[1, :3]), "SELECT CASE WHEN i1 < 2 THEN i1 ELSE i1 + 3 END AS i0, v FROM m WHERE i0 = 0 UNION ALL SELECT i1 + 2, v FROM m WHERE i0 = 1 AND i1 < 3")
+on_matrix("nd_pad", lambda m: A.pad(m, 1), "SELECT a.range AS i0, b.range AS i1, coalesce(v, 0) AS v FROM range((SELECT n + 2 FROM d)) a CROSS JOIN range(102) b LEFT JOIN m ON m.i0 = a.range - 1 AND m.i1 = b.range - 1")
+on_vector("nd_insert", lambda p: A.insert(p, 2, -p), "SELECT CASE WHEN i0 < 2 THEN i0 ELSE i0 + (SELECT count(*) FROM p) END AS i0, v FROM p UNION ALL SELECT i0 + 2, -v FROM p")
 on_matrix("nd_delete", lambda m: A.delete(m, [0, 5, -1], 1), "SELECT i0, i1 - 1 - CASE WHEN i1 > 5 THEN 1 ELSE 0 END AS i1, v FROM m WHERE i1 NOT IN (0, 5, 99)")
-on_matrix("nd_resize", lambda m: A.resize(m[0], (3, 50)), "SELECT range // 50 AS i0, range % 50 AS i1, v FROM range(150) JOIN m ON m.i0 = 0 AND m.i1 = range % 100")
+on_matrix("nd_resize", lambda m: A.resize(m, (m.shape[0] * 2, 150)), "SELECT range // 150 AS i0, range % 150 AS i1, v FROM range((SELECT n * 300 FROM d)) JOIN m ON m.i0 * 100 + m.i1 = range % (SELECT n * 100 FROM d)")
 on_matrix("nd_getitem_slices", lambda m: m[1::2, ::-3], "SELECT (i0 - 1) // 2 AS i0, (99 - i1) // 3 AS i1, v FROM m WHERE i0 % 2 = 1 AND (99 - i1) % 3 = 0")
 on_matrix("nd_take", lambda m: A.take(m, [3, -1, 3], 1), "SELECT i0, q.i1, v FROM m JOIN (VALUES (0, 3), (1, 99), (2, 3)) q(i1, j) ON m.i1 = q.j")
-on_matrix("nd_put", lambda m: A.put(m[0], [1, 2, 1], [10.0, 20.0]), "SELECT i1 AS i0, CASE i1 WHEN 1 THEN 10 WHEN 2 THEN 20 ELSE v END AS v FROM m WHERE i0 = 0")
+on_vector("nd_put", lambda p: A.put(p, [1, 2, 1, -1], [10.0, 20.0]), "SELECT i0, CASE i0 WHEN 1 THEN 10 WHEN 2 THEN 20 WHEN (SELECT count(*) - 1 FROM p) THEN 20 ELSE v END AS v FROM p")
 on_matrix("nd_take_along_axis", lambda m: A.take_along_axis(m, reduce.argsort(m, 1)[:, :3], 1), "SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v, i1) - 1 AS i1, v FROM m QUALIFY row_number() OVER (PARTITION BY i0 ORDER BY v, i1) <= 3")
 on_matrix("nd_compress", lambda m: A.compress([k % 10 == 0 for k in range(100)], m, 1), "SELECT i0, i1 // 10 AS i1, v FROM m WHERE i1 % 10 = 0")
 on_matrix("nd_where", lambda m: A.where(m.map(lambda v: v > 250000), m, -m), "SELECT i0, i1, CASE WHEN v > 250000 THEN v ELSE -v END AS v FROM m")
@@ -121,7 +121,7 @@ on_vector("nd_global_median", reduce.median, "SELECT round(median(v), 3) AS v FR
 
 # --- scans, sorting, searching -------------------------------------------------
 on_vector("nd_cumsum", reduce.cumsum, "SELECT i0, round(sum(v) OVER (ORDER BY i0), 3) AS v FROM p", 3)
-on_matrix("nd_cumprod", lambda m: reduce.cumprod(m.map(lambda v: v / 250000)[:, :8], 1), "SELECT i0, i1, round(product(v / 250000) OVER (PARTITION BY i0 ORDER BY i1), 6) AS v FROM m WHERE i1 < 8", 6)
+on_matrix("nd_cumprod", lambda m: reduce.cumprod(m.map(lambda v: 1 + v / 1e8), 1), "SELECT i0, i1, round(product(1 + v / 1e8) OVER (PARTITION BY i0 ORDER BY i1), 10) AS v FROM m", 10)
 on_vector("nd_maximum_accumulate", reduce.maximum_accumulate, "SELECT i0, max(v) OVER (ORDER BY i0) AS v FROM p")
 on_vector("nd_diff", reduce.diff, "SELECT i0 - 1 AS i0, round(v - lag(v) OVER (ORDER BY i0), 6) AS v FROM p QUALIFY i0 > 0", 6)
 on_matrix("nd_diff2_axis", lambda m: reduce.diff(m, 2, 1), "SELECT i0, i1 - 2 AS i1, round(v - 2 * lag(v, 1) OVER w + lag(v, 2) OVER w, 5) AS v FROM m WINDOW w AS (PARTITION BY i0 ORDER BY i1) QUALIFY i1 >= 2", 5)
@@ -142,36 +142,35 @@ on_vector("nd_ufunc_at", lambda p: reduce.at(A.zeros(p.spark, (7,)), p.map(lambd
 
 
 def _keys(spark, sf):
-    return vector(spark, sf, "o_custkey"), A.from_column(table(spark, sf, "customer"), ["c_custkey"], "c_custkey")
+    return vector(spark, sf, "o_custkey"), A.from_column(table(spark, sf, "part"), ["p_partkey"], "p_partkey")
 
 
-_S = _P + ", q AS (SELECT c_custkey AS c FROM customer)"
+_S = _P + ", q AS (SELECT p_partkey AS c FROM part)"
 register("nd_unique", f"WITH {_P} SELECT row_number() OVER (ORDER BY c) - 1 AS i0, c AS v, min(i0) AS index, count(*) AS count FROM p GROUP BY c")(lambda s, sf: sets.unique_all(_keys(s, sf)[0]))
 register("nd_unique_inverse", f"WITH {_P} SELECT i0, dense_rank() OVER (ORDER BY c) - 1 AS v FROM p")(lambda s, sf: sets.unique_inverse(_keys(s, sf)[0]).cells)
 for _name, _f, _sql in (("intersect1d", sets.intersect1d, "SELECT c FROM p INTERSECT SELECT c FROM q"), ("union1d", sets.union1d, "SELECT c FROM p UNION SELECT c FROM q"), ("setdiff1d", sets.setdiff1d, "SELECT c FROM q EXCEPT SELECT c FROM p"), ("setxor1d", sets.setxor1d, "(SELECT c FROM p EXCEPT SELECT c FROM q) UNION (SELECT c FROM q EXCEPT SELECT c FROM p)")):
     register(f"nd_{_name}", f"WITH {_S} SELECT row_number() OVER (ORDER BY c) - 1 AS i0, c AS v FROM ({_sql})")(lambda s, sf, f=_f, n=_name: f(*(_keys(s, sf)[::-1] if n == "setdiff1d" else _keys(s, sf))))
-register("nd_isin", f"WITH {_S} SELECT i0, p.c % 3 = 0 AND p.c IN (SELECT c FROM q) AS v FROM p")(lambda s, sf: sets.isin(_keys(s, sf)[0], A.NdArray(_keys(s, sf)[1].cells.where("v % 3 = 0"), (0,))).cells)
+register("nd_isin", f"WITH {_P} SELECT i0, c IN (SELECT s_suppkey FROM supplier) AS v FROM p")(lambda s, sf: sets.isin(vector(s, sf, "o_custkey"), A.from_column(table(s, sf, "supplier"), ["s_suppkey"], "s_suppkey")).cells)
 on_vector("nd_trim_zeros", lambda p: sets.trim_zeros(A.NdArray(p.cells.withColumn("v", F.when(F.col("i0").between(5, 20), F.col("v")).otherwise(0.0)), p.shape)), "SELECT i0 - 5 AS i0, v FROM p WHERE i0 BETWEEN 5 AND 20")
 
 # --- products ------------------------------------------------------------------
-on_matrix("nd_matmul", lambda m: products.matmul(m.T.map(lambda v: v / 1e6)[:10], m.map(lambda v: v / 1e6)[:, :10]), "SELECT a.i1 AS i0, b.i1 AS i1, round(sum(a.v / 1e6 * (b.v / 1e6)), 6) AS v FROM m a JOIN m b ON a.i0 = b.i0 WHERE a.i1 < 10 AND b.i1 < 10 GROUP BY a.i1, b.i1", 6)
+on_matrix("nd_matmul", lambda m: products.matmul(m.T.map(lambda v: v / 1e6), m.map(lambda v: v / 1e6)), "SELECT a.i1 AS i0, b.i1 AS i1, round(sum(a.v / 1e6 * (b.v / 1e6)), 6) AS v FROM m a JOIN m b ON a.i0 = b.i0 GROUP BY a.i1, b.i1", 6)
 on_matrix("nd_matvec", lambda m: products.matvec(m, m[0].map(lambda v: v / 1e6)), "SELECT a.i0, round(sum(a.v * (b.v / 1e6)), 2) AS v FROM m a JOIN m b ON b.i0 = 0 AND a.i1 = b.i1 GROUP BY a.i0", 2)
-on_matrix("nd_inner", lambda m: products.inner(m[0], m[1]), "SELECT round(sum(a.v * b.v), 0) AS v FROM m a JOIN m b ON a.i1 = b.i1 WHERE a.i0 = 0 AND b.i0 = 1", 0)
+on_vector("nd_inner", lambda p: products.inner(p, p).map(lambda v: v / 1e12), "SELECT round(sum(v * v) / 1e12, 6) AS v FROM p", 6)
 on_matrix("nd_vecdot", lambda m: products.vecdot(m, m), "SELECT i0, round(sum(v * v), 0) AS v FROM m GROUP BY i0", 0)
-on_matrix("nd_outer", lambda m: products.outer(m[0, :20], m[1, :20]), "SELECT a.i1 AS i0, b.i1 AS i1, round(a.v * b.v, 2) AS v FROM m a, m b WHERE a.i0 = 0 AND b.i0 = 1 AND a.i1 < 20 AND b.i1 < 20", 2)
-on_matrix("nd_kron", lambda m: products.kron(m[:2, :2], m[2:4, :3]), "SELECT a.i0 * 2 + b.i0 - 2 AS i0, a.i1 * 3 + b.i1 AS i1, round(a.v * b.v, 2) AS v FROM m a, m b WHERE a.i0 < 2 AND a.i1 < 2 AND b.i0 BETWEEN 2 AND 3 AND b.i1 < 3", 2)
+on_matrix("nd_outer", lambda m: products.outer(reduce.max_(m, 1), reduce.min_(m, 0)), ", r AS (SELECT i0, max(v) AS r FROM m GROUP BY i0), c AS (SELECT i1, min(v) AS c FROM m GROUP BY i1) SELECT i0, i1, round(r * c, 4) AS v FROM r, c", 4)
+on_matrix("nd_kron", lambda m: products.kron(m, A.array(m.spark, [[1.0, 2.0], [3.0, 4.0]])), "SELECT i0 * 2 + a.range AS i0, i1 * 2 + b.range AS i1, round(v * (1 + 2 * a.range + b.range), 2) AS v FROM m, range(2) a, range(2) b", 2)
 on_matrix("nd_tensordot", lambda m: products.tensordot(A.reshape(m, (-1, 10, 10)), A.reshape(m[0], (10, 10)), 2), "SELECT a.i0, round(sum(a.v * b.v), 0) AS v FROM m a JOIN m b ON b.i0 = 0 AND a.i1 = b.i1 GROUP BY a.i0", 0)
-on_matrix("nd_cross", lambda m: products.cross(m[:, :3], m[:, 3:6]), "SELECT x.i0, range AS i1, round(CASE range WHEN 0 THEN x.b * y.c - x.c * y.b WHEN 1 THEN x.c * y.a - x.a * y.c ELSE x.a * y.b - x.b * y.a END, 2) AS v FROM (SELECT i0, max(v) FILTER (i1 = 0) a, max(v) FILTER (i1 = 1) b, max(v) FILTER (i1 = 2) c FROM m GROUP BY i0) x JOIN (SELECT i0, max(v) FILTER (i1 = 3) a, max(v) FILTER (i1 = 4) b, max(v) FILTER (i1 = 5) c FROM m GROUP BY i0) y USING (i0), range(3)", 2)
+on_vector("nd_cross", lambda p: products.cross(A.reshape(p, (-1, 3)).map(lambda v: v / 1e3), A.flip(A.reshape(p, (-1, 3)).map(lambda v: v / 1e3), 1)), ", x AS (SELECT i0 // 3 AS i0, max(v) FILTER (i0 % 3 = 0) / 1e3 AS a, max(v) FILTER (i0 % 3 = 1) / 1e3 AS b, max(v) FILTER (i0 % 3 = 2) / 1e3 AS c FROM p GROUP BY 1) SELECT i0, range AS i1, round(CASE range WHEN 0 THEN b * a - c * b WHEN 1 THEN c * c - a * a ELSE a * b - b * c END, 4) + 0.0 AS v FROM x, range(3)", 4)
 on_matrix("nd_trace", lambda m: products.trace(m, 1), "SELECT round(sum(v), 2) AS v FROM m WHERE i1 = i0 + 1", 2)
-on_matrix("nd_diagonal_operator", lambda m: products.Diagonal(m[0]).apply(m[1]), "SELECT a.i1 AS i0, round(a.v * b.v, 2) AS v FROM m a JOIN m b ON a.i1 = b.i1 WHERE a.i0 = 0 AND b.i0 = 1", 2)
-on_matrix("nd_circulant_operator", lambda m: products.Circulant(m[0].map(lambda v: v / 1e6)).apply(m[1]), "SELECT (a.i1 + b.i1) % 100 AS i0, round(sum(a.v / 1e6 * b.v), 2) AS v FROM m a, m b WHERE a.i0 = 0 AND b.i0 = 1 GROUP BY 1", 2)
+on_vector("nd_diagonal_operator", lambda p: products.Diagonal(p.map(lambda v: v / 1e3)).apply(p.map(lambda v: v / 1e3)), "SELECT i0, round(v / 1e3 * (v / 1e3), 3) AS v FROM p", 3)
+on_matrix("nd_circulant_operator", lambda m: products.Circulant(reduce.max_(m, 0).map(lambda v: v / 1e6)).apply(reduce.min_(m, 0)), ", c AS (SELECT i1, max(v) / 1e6 AS x, min(v) AS y FROM m GROUP BY i1) SELECT (a.i1 + b.i1) % 100 AS i0, round(sum(a.x * b.y), 4) AS v FROM c a, c b GROUP BY 1", 4)
 on_matrix("nd_norm", lambda m: linalg.norm(m, axis=1), "SELECT i0, round(sqrt(sum(v * v)), 2) AS v FROM m GROUP BY i0", 2)
 on_matrix("nd_norm_1", lambda m: linalg.matrix_norm(m, 1), "SELECT round(max(s), 2) AS v FROM (SELECT sum(abs(v)) AS s FROM m GROUP BY i1)", 2)
-on_matrix("nd_det2", lambda m: linalg.det(A.reshape(m[:, :4].map(lambda v: v / 1e5), (-1, 2, 2))), "SELECT i0, round(max(v) FILTER (i1 = 0) / 1e5 * (max(v) FILTER (i1 = 3) / 1e5) - max(v) FILTER (i1 = 1) / 1e5 * (max(v) FILTER (i1 = 2) / 1e5), 6) AS v FROM m WHERE i1 < 4 GROUP BY i0", 6)
+on_vector("nd_det2", lambda p: linalg.det(A.reshape(p.map(lambda v: v / 1e5), (-1, 2, 2))), "SELECT i0 // 4 AS i0, round(max(v) FILTER (i0 % 4 = 0) / 1e5 * (max(v) FILTER (i0 % 4 = 3) / 1e5) - max(v) FILTER (i0 % 4 = 1) / 1e5 * (max(v) FILTER (i0 % 4 = 2) / 1e5), 6) AS v FROM p GROUP BY 1", 6)
 on_matrix("nd_fftshift", lambda m: lanes.fftshift(m, 1), "SELECT i0, (i1 + 50) % 100 AS i1, v FROM m")
 on_session("nd_fftfreq", lambda s: lanes.fftfreq(s, 11, 0.5), "SELECT range AS i0, round(CASE WHEN range < 6 THEN range ELSE range - 11 END / 5.5, 9) AS v FROM range(11)", 9)
 on_session("nd_rfftfreq", lambda s: lanes.rfftfreq(s, 11, 0.5), "SELECT range AS i0, round(range / 5.5, 9) AS v FROM range(6)", 9)
-on_matrix("nd_rfft_dc", lambda m: A.NdArray(lanes.rfft(m).cells.where("i1 = 0").select("i0", F.col("v.re").alias("v")), (m.shape[0],)), "SELECT i0, round(sum(v), 2) AS v FROM m GROUP BY i0", 2)
 for _name, _sql in (("bartlett", "1 - abs(t)"), ("hanning", "0.5 + 0.5 * cos(pi() * t)"), ("hamming", "0.54 + 0.46 * cos(pi() * t)"), ("blackman", "0.42 + 0.5 * cos(pi() * t) + 0.08 * cos(2 * pi() * t)")):
     register(f"nd_{_name}", f"SELECT range AS i0, abs(round({_sql}, 9)) AS v FROM (SELECT range, (2 * range - 50) / 50 AS t FROM range(51))")(lambda s, sf, n=_name: getattr(lanes, n)(s, 51).cells.withColumn("v", F.abs(F.round("v", 9))))
 

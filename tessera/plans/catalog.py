@@ -57,7 +57,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _loaded() -> None:
     """Registration happens when the modules of queries are imported."""
-    from tessera.plans import arrays, elementwise, streams  # noqa: F401
+    from tessera.plans import arrays, elementwise, identities, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

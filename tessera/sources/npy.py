@@ -9,7 +9,6 @@ cells in row order, or, streamed through the driver, as a single file.
 from __future__ import annotations
 
 import ast
-import io
 import math
 import struct
 import uuid
@@ -223,13 +222,10 @@ def save(a: NdArray, path: str) -> None:
 
 def savez(path: str, compressed: bool = False, **arrays: NdArray) -> None:
     files, name = opened(path)
-    with files.open_output_stream(name) as out:
-        holder = io.BytesIO()
-        with zipfile.ZipFile(holder, "w", zipfile.ZIP_DEFLATED if compressed else zipfile.ZIP_STORED) as archive:
-            for key, a in arrays.items():
-                with archive.open(f"{key}.npy", "w", force_zip64=True) as member:
-                    _stream(a, member)
-        out.write(holder.getvalue())
+    with files.open_output_stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if compressed else zipfile.ZIP_STORED) as archive:
+        for key, a in arrays.items():
+            with archive.open(f"{key}.npy", "w", force_zip64=True) as member:
+                _stream(a, member)
 
 
 def savez_compressed(path: str, **arrays: NdArray) -> None:
