@@ -783,3 +783,76 @@ def test_pipeline_stages(spark, sf):
     theirs = Tokenizer.from_file(VOCABULARY)
     for r in last.collect()[:20]:
         assert r.ids == theirs.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
+def test_pipeline_run_matches_brute_force(spark, tmp_path):
+    """All five stages on a small corpus: trees applied one by one, repeats, similarities of all pairs, the mixture, the tokenizers library."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    fresh = iter(range(10**9))
+    prose = lambda n: [f"word{next(fresh)}" for _ in range(n)]
+    passage, base, texts = prose(60), prose(190), []
+    for i in range(40):
+        texts.append(" ".join([*prose(rng.randint(5, 60)), "\n", *(passage if i % 9 == 4 else []), "\n", *prose(10)]))
+        texts.append(" ".join(rng.choice("#$%&*") * rng.randint(1, 9) for _ in range(rng.randint(5, 60))))
+    near = [base.copy() for _ in range(4)]
+    for n, words in enumerate(near):  # a changed word after each 47: no run of 50 words is equal, most shingles are
+        for at in range(47, 190, 48):
+            words[at] = f"other{n}x{at}"
+    texts += [" ".join(w) for w in near] + [texts[0], texts[2], " ".join(passage), None, "", "\n \n"]
+    rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["src0", "src11", None]), None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [(None, "an unnamed text", "en", "src0", 15)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    labels = [(i, int(i % 2 == 0)) for i in range(80)]
+    folder = str(tmp_path)
+    docs = frame(spark, rows, schema)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    frame(spark, labels, "doc_id bigint, quality int").write.parquet(f"{folder}/labels.parquet")
+    got = collections.Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars, tuple(r.ids), r.n_tokens) for r in corpus_pipeline.run(spark, folder).collect())
+
+    chosen = [(texts[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([quality.statistics(t) for t, _ in chosen]), np.array([y for _, y in chosen], float)
+    order = np.lexsort((*x.T, y))
+    trees = quality.Trees().fit(x[order], y[order])
+    left = [r for r in rows if trees.score(np.array([quality.statistics(r[1])]))[0] >= 0.5]
+    left.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    cut = []
+    for r, gone in zip(left, brute_repeats([(r[0], r[1]) for r in left], 50)):
+        if not gone:
+            cut.append(r)
+        elif kept := [w for k, w in enumerate(r[1].split()) if k not in gone]:
+            cut.append((*r[:4], kept))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((r[4] if isinstance(r[4], list) else (r[1] or "").split()) for r in cut)]
+    label = list(range(len(cut)))
+    for i in range(len(cut)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if k == label[i] else k for k in label]
+    ids = [min((cut[k][0] for k in range(len(cut)) if label[k] == label[i] and cut[k][0] is not None), default=None) for i in range(len(cut))]
+    single = [(r, s) for r, s, i in zip(cut, sets, ids) if r[0] is None or r[0] == i]
+    told = {r[0]: r for r, _ in single}
+    assert {d for d, *_ in got} <= set(told) and len(single) < len(cut) < len(left) < len(rows)
+    theirs = Tokenizer.from_file(VOCABULARY)
+    texts_out = {}
+    for d, text, lang, source, n, tokens, count in got:
+        r = told[d]
+        changed = isinstance(r[4], list)
+        assert (lang, source) == r[2:4] and (text or "").split() == (r[4] if changed else (r[1] or "").split())
+        assert n == (len(text) if changed else r[4]) and (changed or text == r[1])
+        assert list(tokens) == theirs.encode(text or "", add_special_tokens=False).ids and count == len(tokens)
+        texts_out[d] = text
+    domain = lambda s: "web" if s == "src0" else "library" if s == "src11" else "other"
+    words = lambda r: len(r[4]) if isinstance(r[4], list) else len((r[1] or "").split())
+    mixture = [{"id": r[0], "text": None, "n": words(r), "leaf": (domain(r[3]), r[2] or "", r[3] or "")} for r, _ in single]
+    want = collections.Counter()
+    for (d, _, _epoch), c in brute_mixture(mixture, mixing.WEIGHTS, mixing.EPOCHS, mixing.SHARE, mixing.SEED).items():
+        want[d] += c
+    mine = collections.Counter()
+    for (d, *_), c in got.items():
+        mine[d] += c
+    assert mine == want
+
+    frame(spark, [], schema).write.parquet(f"{folder}/none/documents.parquet")
+    frame(spark, [], "doc_id bigint, quality int").write.parquet(f"{folder}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
