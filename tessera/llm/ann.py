@@ -12,8 +12,9 @@ score is below its estimate is searched again through all parts. A cell is cut b
 projections if most sampled queries could not reach the target in PROBES cells; a query
 that still can't visits none and is searched through all parts at once.
 
-Cells are dealt out to parts of bounded size. A part holds its vectors in memory and
-reads its queries as a stream; a query comes once to each part that it probes. Equal
+Cells are dealt out to parts of bounded size, and a cell that holds a good part of one
+(a group of similar vectors) is cut into slices. A part holds its vectors in memory, each
+once, and reads its queries as a stream; a query comes once to each part that it probes. Equal
 vectors are one entry with the smallest ids that any query can need, so a vector's
 copies don't fill a cell, and nothing is lost.
 
@@ -28,6 +29,7 @@ repeat an id are one candidate; an empty table gives no rows. Other columns are
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,10 @@ SAMPLE = 2_000
 TABLES, RECALL, PROBES = 8, 0.97, 384
 STEP = 1.6
 PART_BYTES = 32 << 20
+#: The most cells that are cut into slices; beyond, only larger ones are.
+MOST_SLICED = 100_000
+#: Scores of a block of queries at once, and the share of the entries (one in so many) from which all are computed.
+PRODUCT, DENSE = 8 << 20, 8
 _erf = np.frompyfunc(math.erf, 1, 1)
 
 
@@ -130,13 +136,14 @@ class Hashes:
         return [np.unique(np.concatenate(x)) if whole else np.empty(0, np.int64) for x, whole in zip(out, reached)]
 
 
-_ROW = "part bigint, kind int, id bigint, v binary, ids array<bigint>"
+#: A vector in a part: kind 0 an entry with its ids and the cells that hold it, kind 1 a query (id) with the cells it visits, null for all.
+_ROW = "part bigint, kind int, id bigint, v binary, ids array<bigint>, cells array<bigint>"
+_KINDS = {"part": pa.int64(), "kind": pa.int32(), "id": pa.int64(), "v": pa.binary(), "ids": pa.list_(pa.int64()), "cells": pa.list_(pa.int64())}
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "kind", "id", "v", "ids"])
+    columns = zip(*rows) if rows else [[]] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS.values())], list(_KINDS))
 
 
 def _vectors(column) -> np.ndarray:
@@ -144,16 +151,66 @@ def _vectors(column) -> np.ndarray:
     return np.stack(rows).astype(np.float64)
 
 
-def _entries(entries: DataFrame, hashes, parts: int) -> DataFrame:
-    """Kind 0: each entry in each table's part; id is the cell."""
+class Parts:
+    """Which part each cell is in. A cell of many entries is cut into slices by the vectors' hashes, each in a part of its own."""
+
+    def __init__(self, many: int, sliced: dict[int, int]):
+        self.many = many
+        self.cells = np.array(sorted(sliced), np.int64)
+        self.slices = np.array([min(many, sliced[c]) for c in self.cells.tolist()], np.int64)
+
+    def _slices(self, cells: np.ndarray) -> np.ndarray:
+        if not len(self.cells):
+            return np.ones(len(cells), np.int64)
+        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
+        return np.where(self.cells[at] == cells, self.slices[at], 1)
+
+    @staticmethod
+    def _grouped(cells: np.ndarray, where: np.ndarray) -> list[tuple[int, list[int]]]:
+        order = np.argsort(where, kind="stable")
+        cuts = np.flatnonzero(np.diff(where[order])) + 1
+        return [(int(where[g[0]]), cells[g].tolist()) for g in np.split(order, cuts) if len(g)]
+
+    def holding(self, cells: np.ndarray, vector: bytes) -> list[tuple[int, list[int]]]:
+        """The parts that hold an entry, each with its cells there."""
+        return self._grouped(cells, (cells % self.many + zlib.crc32(vector) % self._slices(cells)) % self.many)
+
+    def visited(self, cells: np.ndarray) -> list[tuple[int, list[int]]]:
+        """The parts that hold any slice of a query's cells, each with these cells."""
+        slices = self._slices(cells)
+        every = np.repeat(cells, slices)
+        nth = np.arange(len(every)) - np.repeat(np.cumsum(slices) - slices, slices)
+        return self._grouped(every, (every % self.many + nth) % self.many)
+
+
+def _parts(entries: DataFrame, hashes, n: int, row_bytes: int) -> Parts:
+    """Parts of about PART_BYTES; cells over an eighth of a part's rows are sliced (MOST_SLICED of them at most)."""
+    many = max(8, math.ceil(n * TABLES * row_bytes / PART_BYTES))
+    rows = max(1, PART_BYTES // row_bytes // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                cells = hashes.value.cells(_vectors(whole.column(0).slice(i, 1000)))
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel())], ["cell"])
+
+    sizes = entries.select("v").mapInArrow(run, "cell bigint").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > max(rows, n * TABLES // MOST_SLICED)).collect()  # fewer than MOST_SLICED: the cells hold n * TABLES entries
+    return Parts(many, {r["cell"]: math.ceil(r["n"] / rows) for r in large})
+
+
+def _entries(entries: DataFrame, hashes, parts) -> DataFrame:
+    """Each entry once in each part that holds one of its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
+                batch, rows = whole.slice(i, 1000), []
                 x = _vectors(batch.column(0))
-                ids = batch.column(1).to_pylist()
-                yield _batch([(int(c % parts), 0, int(c), v.tobytes(), own) for v, own, cells in zip(x, ids, hashes.value.cells(x)) for c in cells])
+                for v, own, cells in zip(x, batch.column(1).to_pylist(), hashes.value.cells(x)):
+                    vector = v.tobytes()
+                    rows += [(p, 0, 0, vector, own, there) for p, there in parts.value.holding(cells, vector)]
+                yield _batch(rows)
 
     return entries.select("v", "ids").mapInArrow(run, _ROW)
 
@@ -170,21 +227,17 @@ def _bars(queries: DataFrame, hashes) -> DataFrame:
     return queries.select("v", "id").mapInArrow(run, "id bigint, bar double")
 
 
-def _asked(queries: DataFrame, hashes, parts: int) -> DataFrame:
-    """Kind 1: each query in each part that it probes; ids are the cells."""
+def _asked(queries: DataFrame, hashes, parts) -> DataFrame:
+    """Each query once in each part that it probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 64):
-                batch = whole.slice(i, 64)
+                batch, rows = whole.slice(i, 64), []
                 q = _vectors(batch.column(0))
-                probes, rows = hashes.value.probes(q), []
-                for j, name in enumerate(batch.column(1).to_pylist()):
-                    vector = q[j].tobytes()
-                    where = probes[j] % parts
-                    order = np.argsort(where, kind="stable")
-                    cuts = np.flatnonzero(np.diff(where[order])) + 1
-                    rows += [(int(where[g[0]]), 1, name, vector, probes[j][g].tolist()) for g in np.split(order, cuts) if len(g)]
+                for v, name, cells in zip(q, batch.column(1).to_pylist(), hashes.value.probes(q)):
+                    vector = v.tobytes()
+                    rows += [(p, 1, name, vector, None, there) for p, there in parts.value.visited(cells)]
                 yield _batch(rows)
 
     return queries.select("v", "id").mapInArrow(run, _ROW)
@@ -202,7 +255,7 @@ def _exactly(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for v, own, p in zip(*(c.to_pylist() for c in batch.columns)):
-                    rows.append((p, kind, 0 if kind == 0 else own, np.array(v, np.float64).tobytes(), own if kind == 0 else None))
+                    rows.append((p, kind, 0 if kind == 0 else own, np.array(v, np.float64).tobytes(), own if kind == 0 else None, None))
                     if len(rows) == 1000:
                         yield _batch(rows)
                         rows.clear()
@@ -227,25 +280,35 @@ def _best(x: np.ndarray, ids: list, rows: np.ndarray, rough: np.ndarray, q: np.n
 
 
 def _searched(dealt: DataFrame, k: int) -> DataFrame:
-    """Partial results of each part: rows come sorted, a part's entries before its queries."""
+    """Partial results of each part: rows come sorted, a part's entries before its queries.
+
+    Queries are taken in blocks. If a block's queries look at a good part of the entries, one matrix product
+    gives all scores, which costs less than to gather each query's rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, vectors, names, where, x, held, block = None, [], [], {}, None, [], []
 
-        def whole() -> None:  # queries that search every row of the part share one product
-            if block:
-                rows, qs = np.arange(len(x)), np.stack([q for _, q in block])
-                for (own, q), rough in zip(block, qs @ x.T):
-                    held.extend((own, i, s) for s, i in _best(x, names, rows, rough, q, own, k))
-                block.clear()
+        def answered() -> None:
+            if not block:
+                return
+            looked = sum(len(x) if rows is None else len(rows) for _, _, rows in block)
+            scores = np.stack([q for _, q, _ in block]) @ x.T if looked * DENSE >= len(block) * len(x) else None
+            for i, (own, q, rows) in enumerate(block):
+                if rows is None:
+                    rows = np.arange(len(x))
+                rough = x[rows] @ q if scores is None else scores[i, rows]
+                held.extend((own, other, s) for s, other in _best(x, names, rows, rough, q, own, k))
+            block.clear()
 
         for batch in batches:
-            for p, kind, name, v, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, kind, name, v, ids, cells in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != part:
-                    whole()
+                    answered()
                     part, vectors, names, where, x = p, [], [], {}, None
                 if kind == 0:
-                    where.setdefault(name, []).append(len(vectors))
+                    for c in cells or ():
+                        where.setdefault(c, []).append(len(vectors))
                     vectors.append(np.frombuffer(v))
                     names.append(ids)
                     continue
@@ -254,18 +317,23 @@ def _searched(dealt: DataFrame, k: int) -> DataFrame:
                 if x is None:
                     x, vectors = np.stack(vectors), [True]
                     where = {c: np.array(r) for c, r in where.items()}
-                q = np.frombuffer(v)
-                if ids is None:
-                    block.append((name, q))
-                    if len(block) == 64:
-                        whole()
-                elif rows := [where[c] for c in ids if c in where]:
-                    rows = np.concatenate(rows)
-                    held += [(name, i, s) for s, i in _best(x, names, rows, x[rows] @ q, q, name, k)]
+                rows = None
+                if cells is not None:
+                    found = [where[c] for c in cells if c in where]
+                    if not found:
+                        continue
+                    if len(found) > 1:  # an entry is in a cell of each table
+                        mark = np.zeros(len(x), bool)
+                        mark[np.concatenate(found)] = True
+                        found = [np.flatnonzero(mark)]
+                    rows = found[0]
+                block.append((name, np.frombuffer(v), rows))
+                if len(block) == 64 or len(block) * len(x) >= PRODUCT:
+                    answered()
                 if len(held) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], ["query_id", "vec_id", "score"])
-                    held = []
-        whole()
+                    held.clear()
+        answered()
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], ["query_id", "vec_id", "score"])
 
@@ -304,8 +372,8 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     first = F.col("ids")[0]
     sample = entries.orderBy(F.xxhash64(first), first).limit(SAMPLE).select("v").collect()
     hashes = spark.sparkContext.broadcast(Hashes(np.array([r.v for r in sample], np.float64), longest, n, k))  # bounded: the sample and the projections
-    parts = max(8, math.ceil(n * TABLES * 8 * dim / PART_BYTES))
-    dealt = _entries(entries, hashes, parts).union(_asked(wanted, hashes, parts)).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    parts = spark.sparkContext.broadcast(_parts(entries, hashes, n, 8 * dim))  # bounded by MOST_SLICED
+    dealt = _entries(entries, hashes, parts).union(_asked(wanted, hashes, parts)).repartition(parts.value.many, "part").sortWithinPartitions("part", "kind")
     found, _ = written(_searched(dealt, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
     reached = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
     bars = _bars(wanted, hashes).groupBy("id").agg(F.max("bar").alias("bar"))

@@ -580,6 +580,38 @@ def test_ann_probes_reach_the_target_at_any_size():
     assert len(found) >= 100 and np.mean(found) >= 0.92
 
 
+def test_ann_cells_of_many_entries_are_sliced(spark, monkeypatch):
+    rng = np.random.default_rng(36)
+    x = rng.normal(size=(3000, 8))
+    x[:1000] = x[0] + 1e-3 * rng.normal(size=(1000, 8))  # a third of the rows in a cell or two of each table
+    x = np.round(x, 4)
+    made = []
+    parts = ann._parts
+    monkeypatch.setattr(ann, "PART_BYTES", 64 << 10)
+    monkeypatch.setattr(ann, "_parts", lambda *a: made.append(parts(*a)) or made[0])
+    got = collections.defaultdict(list)
+    for r in ann.nearest(vectors_table(spark, x), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(made[0].cells) and made[0].slices.max() > 2
+    hits = 0
+    for q in range(0, 3000, 20):
+        scores = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(3000), -scores)).tolist() if i != q][:20]
+        hits += len(set(order) & set(got[q]))
+        assert len(got[q]) == len(set(got[q])) == 20
+    assert hits / 3000 >= 0.9
+
+
+def test_ann_parts():
+    """Each slice of a cell is where a query looks for it, whatever the hash of the vector."""
+    parts = ann.Parts(5, {7: 3, -9: 9, 2**63 - 1: 4})
+    cells = np.array([7, -9, 2**63 - 1, 11, -(2**63)])
+    visited = {(p, c) for p, own in parts.visited(cells) for c in own}
+    held = {(p, c) for i in range(200) for p, own in parts.holding(cells, str(i).encode()) for c in own}
+    assert held == visited and len(held) == 3 + 5 + 4 + 1 + 1
+    assert ann._batch([]).num_rows == 0
+
+
 def test_ann_small_tables(spark):
     x = np.random.default_rng(1).normal(size=(6, 4))
     rows = ann.nearest(vectors_table(spark, x), F.col("vec_id") == 0).collect()
