@@ -298,24 +298,50 @@ def from_column(frame: DataFrame, order: Sequence[str], value: str) -> NdArray:
     return NdArray(cells.select(F.col("pos").alias("i0"), "v"), (frame.count(),))
 
 
-def dense_rank_positions(frame: DataFrame, order: Sequence[Column], ranges: int | None = None) -> DataFrame:
-    """Adds pos, the row's place in a total order, from 0.
+def range_cuts(values: DataFrame, ranges: int | None = None) -> list:
+    """Increasing values of the only column that cut it into ranges of about equal rows.
 
-    The first ordering column, if numeric, is cut at quantiles into ranges; a row's place is the
-    number of rows in the ranges before it (a small table) and its place in its range. So no task sorts all rows.
+    Numbers are cut at approximate quantiles, other types at those of a sample of about 100 rows a range.
+    """
+    ranges = ranges or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges <= 1:
+        return []
+    o, kind = F.col(values.columns[0]), values.schema[0].dataType.typeName()
+    if kind in ("double", "float", "long", "integer", "short", "byte"):
+        known = values.select(o.cast("double").alias("o")).where("o IS NOT NULL AND NOT isnan(o)")
+        return sorted({float(c) for c in known.approxQuantile("o", [k / ranges for k in range(1, ranges)], 0.01)})
+    if kind not in ("string", "binary", "date", "timestamp", "timestamp_ntz", "decimal", "boolean"):
+        return []
+    known = values.select((F.substring(o, 1, 64) if kind == "string" else o).alias("o")).where("o IS NOT NULL")  # long texts needn't reach the driver whole
+    rows = known.count()
+    some = [r.o for r in known.sample(min(1.0, 100 * ranges / max(rows, 1)), seed=7).orderBy("o").collect()]
+    return sorted({some[k * len(some) // ranges] for k in range(1, ranges)}) if some else []
+
+
+def range_of(value: Column, cuts: list) -> Column:
+    """The number of the value's range: NaN is in the last one, NULL in one after it."""
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)) if cuts else F.lit(0)
+    return F.when(value.isNull(), len(cuts) + 1).otherwise(part).cast("int")
+
+
+def dense_rank_positions(frame: DataFrame, order: Sequence[Column], ranges: int | None = None, descending: bool = False) -> DataFrame:
+    """Adds pos, the row's place in a total order, from 0; NULLs of the first column come last.
+
+    The first ordering column is cut into ranges; a row's place is the number of rows in the ranges
+    before it (a small table) and its place in its range. So no task sorts all rows.
+    descending: the first column's greatest values come first.
     """
     first = frame.select(order[0].alias("o"))
-    kind = first.schema["o"].dataType.typeName()
-    if kind not in ("double", "float", "long", "integer", "short", "byte"):
-        return frame.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    ranges = ranges or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(first.select(F.col("o").cast("double")).where("o IS NOT NULL AND NOT isnan(o)").approxQuantile("o", [k / ranges for k in range(1, ranges)], 0.01))) if ranges > 1 else []
-    key = order[0].cast("double")
-    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= key)) if cuts else F.lit(0)
-    marked = frame.withColumn("_range", F.when(key.isNull(), len(cuts) + 1).otherwise(part).cast("int"))
+    cuts = range_cuts(first, ranges)
+    numeric = first.schema["o"].dataType.typeName() in ("double", "float", "long", "integer", "short", "byte")
+    part = range_of(order[0].cast("double") if numeric else order[0], cuts)
+    if descending:
+        part = F.when(order[0].isNull(), part).otherwise(len(cuts) - part)
+    marked = frame.withColumn("_range", part)
     counts = marked.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
-    placed = marked.withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    leading = F.desc(order[0]) if descending else order[0]
+    placed = marked.withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(leading, *order[1:])))
     return placed.join(F.broadcast(before), "_range").withColumn("pos", F.col("_before") + F.col("_row") - 1).drop("_range", "_before", "_row")  # a row a range
 
 

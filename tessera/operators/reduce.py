@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.array import NdArray, dense_rank_positions, ravel, reshape
+from tessera.operators.array import NdArray, dense_rank_positions, range_cuts, range_of, ravel, reshape
 
 NAN = float("nan")
 
@@ -165,9 +165,9 @@ def nanstd(a: NdArray, axis=None, ddof: float = 0, keepdims=False):
 PLOTTING = {"linear": (1, 1), "weibull": (0, 0), "hazen": (0.5, 0.5), "median_unbiased": (1 / 3, 1 / 3), "normal_unbiased": (3 / 8, 3 / 8), "interpolated_inverted_cdf": (0, 1)}
 
 
-def quantile_of(values: Column, n: Column, q: float, method: str = "linear") -> Column:
-    """The q-quantile of a sorted array column of n values."""
-    at = lambda k: F.element_at(values, F.greatest(F.least(k, n.cast("double")), F.lit(1.0)).cast("int"))
+def quantile_of(find, n: Column, q: float, method: str = "linear") -> Column:
+    """The q-quantile of n values; find gives the value at a place, from 1."""
+    at = lambda k: find(F.greatest(F.least(k, n.cast("double")), F.lit(1.0)).cast("long"))
     if method in PLOTTING:
         alpha, beta = PLOTTING[method]
         place = n * q + (alpha + q * (1 - alpha - beta))
@@ -199,14 +199,39 @@ def quantile_of(values: Column, n: Column, q: float, method: str = "linear") ->
     return at(low) + (at(low + 1) - at(low)) * (inside - low)
 
 
+def _whole_quantile(a: NdArray, q: float, method: str) -> NdArray:
+    """Of all cells: equal values are counted first, and only the ranges of values around the quantile's place are sorted."""
+    values = a.cells.where("v IS NOT NULL").select(F.col("v").cast("double").alias("v"))
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("r", range_of(F.col("v"), range_cuts(values)))
+    by_range = Window.orderBy("r")
+    ranges = counted.groupBy("r").agg(F.sum("c").alias("t"), F.bool_or(F.isnan("v")).alias("nan"))  # a row a range
+    ranges = ranges.select(
+        "r", "t", F.coalesce(F.sum("t").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("t").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
+        F.bool_or("nan").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("nan"),
+    )
+    place = F.floor(F.col("n") * q)  # no method looks farther than two places from here
+    around = lambda first, last: (last >= place - 2) & (first <= place + 3)
+    near = counted.join(F.broadcast(ranges.where(around(F.col("before") + 1, F.col("before") + F.col("t")))), "r")  # a few rows
+    near = near.withColumn("last", F.col("before") + F.sum("c").over(Window.partitionBy("r").orderBy("v")))
+    near = near.where(around(F.col("last") - F.col("c") + 1, F.col("last")))
+    found = near.agg(F.array_sort(F.collect_list(F.struct("last", "v"))).alias("s"), F.max("n").alias("n"), F.max("nan").alias("nan"))
+    at = lambda k: F.element_at(F.filter("s", lambda x: x["last"] >= k), 1)["v"]
+    value = F.when(F.col("n").isNull() | F.col("nan"), NAN).otherwise(quantile_of(at, F.col("n"), q, method))
+    return NdArray(found.select(value.alias("v")), ())
+
+
 def quantile(a: NdArray, q: float, axis=None, method: str = "linear", keepdims=False):
-    """Lanes are aggregated as sorted arrays for all methods but the linear one, which is built in and spills."""
+    """Over all axes by ranges of values, without a limit of memory; lanes that stay apart are sorted arrays of a task."""
     if not 0 <= q <= 1:
         raise ValueError("Quantiles must be in the range [0, 1]")
+    if len(a.axes_of(axis)) == a.ndim:
+        found = _whole_quantile(a, q, method)
+        return reshape(found, [1] * a.ndim) if keepdims else found
     if method == "linear":
         return _reduced(a, axis, lambda v: _nan_if_any(v, F.percentile(v.cast("double"), q)), keepdims, NAN)
     found = _reduced(a, axis, lambda v: F.struct(F.array_sort(F.collect_list(v.cast("double"))).alias("s"), F.count(v).alias("n"), F.bool_or(F.isnan(v.cast("double"))).alias("nan")), keepdims)
-    return found.map(lambda s: F.when(s["nan"], NAN).otherwise(quantile_of(s["s"], s["n"], q, method)))
+    return found.map(lambda s: F.when(s["nan"] | (s["n"] == 0), NAN).otherwise(quantile_of(lambda k: F.get(s["s"], (k - 1).cast("int")), s["n"], q, method)))
 
 
 def percentile(a: NdArray, q: float, axis=None, method: str = "linear", keepdims=False):
@@ -338,9 +363,9 @@ def unwrap(a: NdArray, period: float = 6.283185307179586, discont: float | None
 def _lane_ranks(a: NdArray, axis: int, descending: bool) -> DataFrame:
     name = f"i{a.axis(axis)}"
     lanes = [x for x in a.axes if x != name]
+    if not lanes:
+        return dense_rank_positions(a.cells, [F.col("v"), F.col(name)], descending=descending)
     value = F.desc_nulls_last("v") if descending else F.asc_nulls_last("v")
-    if not lanes and not descending:
-        return dense_rank_positions(a.cells, [F.col("v"), F.col(name)])
     return a.cells.withColumn("pos", F.row_number().over(Window.partitionBy(*lanes).orderBy(value, name)).cast("long") - 1)
 
 
@@ -369,8 +394,8 @@ def lexsort(keys: list[NdArray]) -> NdArray:
 
 
 def sort_complex(a: NdArray) -> NdArray:
-    w = Window.orderBy(F.col("v.re"), F.col("v.im"), "i0")
-    return NdArray(a.cells.withColumn("i0", F.row_number().over(w).cast("long") - 1), a.shape)
+    placed = dense_rank_positions(a.cells, [F.col("v.re"), F.col("v.im"), F.col("i0")])
+    return NdArray(placed.select(F.col("pos").alias("i0"), "v"), a.shape)
 
 
 def searchsorted(a: NdArray, v: NdArray, side: str = "left") -> NdArray:

@@ -249,3 +249,39 @@ def test_masked_shapes(spark):
     assert masked.append(a, a).tolist() == [1.0, None, 1.0, None] and masked.ones_like(a).tolist() == [1.0, None]
     assert masked.reshape(a, (2, 1)).tolist() == [[1.0], [None]] and masked.minimum_fill_value(a) == np.inf and masked.common_fill_value(a, a) == 1e20
     assert masked.make_mask_none(spark, (2,)).tolist() == [False, False] and masked.getmask(a).tolist() == [False, True]
+
+
+def test_order_statistics_over_ranges(spark):
+    """Whole-array quantiles, positions by any type and both directions, with a value that holds a third of the cells."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.full(400, 0.25), rng.normal(size=800)])
+    rng.shuffle(x)
+    a = A.array(spark, x)
+    for method in ("linear", "lower", "higher", "nearest", "midpoint", "hazen", "inverted_cdf", "closest_observation"):
+        for q in (0, 0.003, 0.37, 0.5, 0.999, 1):
+            assert reduce.quantile(a, q, method=method).item() == pytest.approx(np.quantile(x, q, method=method))
+    assert reduce.quantile(a, 0.5, keepdims=True).shape == (1,)
+    assert np.isnan(reduce.median(A.array(spark, [1.0, float("nan"), 2.0])).item())
+    assert reduce.nanmedian(A.array(spark, [1.0, float("nan"), 2.0])).item() == 1.5
+    assert np.isnan(reduce.nanmedian(A.array(spark, [float("nan")])).item())
+    down = reduce.sort(a, descending=True)
+    same(down, np.sort(x)[::-1])
+    same(reduce.argsort(a, descending=True), np.argsort(-x, kind="stable"))
+    z = np.round(x[:200], 1) + 1j * rng.integers(0, 3, 200)
+    cells = spark.createDataFrame([(i, (float(v.real), float(v.imag))) for i, v in enumerate(z)], "i0 bigint, v struct<re: double, im: double>")
+    got = reduce.sort_complex(A.NdArray(cells, (200,))).cells.orderBy("i0").collect()
+    assert [complex(r.v.re, r.v.im) for r in got] == np.sort_complex(z).tolist()
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "boolean", "decimal(20,3)", "timestamp"])
+def test_positions_by_other_types(spark, kind):
+    number = (F.col("id") * 7919 % 1000).cast("int")
+    made = {"string": F.concat(F.lit("k"), number.cast("string")), "date": F.date_add(F.lit("2020-01-01").cast("date"), number), "boolean": number % 3 == 0,
+            "decimal(20,3)": number.cast("decimal(20,3)") / 8, "timestamp": F.timestamp_seconds(number * 3600)}[kind]
+    frame = spark.range(1500).select("id", F.when(F.col("id") % 50 != 0, made).alias("k")).cache()
+    assert A.range_cuts(frame.select("k"), 4)
+    got = [r.id for r in A.dense_rank_positions(frame, [F.col("k"), F.col("id")], 4).orderBy("pos").collect()]
+    assert got == [r.id for r in frame.orderBy(F.asc_nulls_last("k"), "id").collect()]
+    placed = A.dense_rank_positions(frame, [F.col("k"), F.col("id")], 4, descending=True)
+    assert [r.id for r in placed.orderBy("pos").collect()] == [r.id for r in frame.orderBy(F.desc_nulls_last("k"), "id").collect()]
+    assert placed.agg(F.max("pos")).first()[0] == 1499
