@@ -53,8 +53,8 @@ from tessera.llm.common import by_size, column, crc_bucket, shuffle_partitions,
 FOLDS, HELD_OUT = 5, 1
 BLOCK = 16 << 20
 ROUNDS = 3
-#: Distinct words that a task scores.
-WORDS = 200_000
+#: Distinct words that a task scores, and words of blocks that a task joins, whatever spark.sql.shuffle.partitions says.
+WORDS, JOINED = 200_000, 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -368,8 +368,9 @@ def scored(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     table, path = written(tokenized(docs, id_col, text_col), "tokens")
     in_blocks = table.where(F.col("kind") == _WORD).select("block", "number", "word", "count")
     # Lattices are slow work on small rows: tasks are cut by words, not by bytes.
-    tasks = max(shuffle_partitions(spark), math.ceil(in_blocks.count() / WORDS))
-    words, _ = written(in_blocks.groupBy("word").agg(F.sum("count").alias("count")), "words")
+    rows = in_blocks.count()
+    tasks, joins = (max(shuffle_partitions(spark), math.ceil(rows / most)) for most in (WORDS, JOINED))
+    words, _ = written(in_blocks.repartition(joins, "word").groupBy("word").agg(F.sum("count").alias("count")), "words")
     dealt = words.repartition(tasks)
     again = spark.read.schema(table.schema).parquet(path)  # the cogroup's sides need attributes of their own
     texts = again.where(F.col("kind") == _DOC).select("block", "id", "held_out", "tokens")
@@ -397,7 +398,7 @@ def scored(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spelt / math.log(10)), pa.array(mixed / math.log(10)), batch.column(1)], ["word", "spelt", "mixed", "count"])
 
     valued = dealt.mapInArrow(values, "word binary, spelt double, mixed double, count bigint")
-    back = in_blocks.select("block", "number", "word").join(valued, "word").select("block", "number", "spelt", "mixed", "count")
+    back = in_blocks.select("block", "number", "word").repartition(joins, "word").join(valued.repartition(joins, "word"), "word").select("block", "number", "spelt", "mixed", "count")
     end, on = (math.log10(learnt / n), math.log10(total / n) if total else 0.0) if learnt else (0.0, 0.0)
     end_base = math.log10((learnt + 0.5) / (n + 0.5 * (v + 1)))
     end_known = int(bool(learnt))
@@ -423,6 +424,7 @@ def scored(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixture_score"]
     kind = docs.schema[id_col].dataType.simpleString()
     result = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, mixture_score double"
+    texts, back = (side.repartition(joins, "block") for side in (texts, back))
     return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, result).withColumnRenamed("id", id_col)
 
 
