@@ -2,7 +2,8 @@
 
 Nothing is collected but one count and one checksum a round. Minima are found by
 partial aggregates and handed back by joins, so a hub with very many neighbours
-is never gathered in one task (adaptive execution splits a skewed join side).
+is never gathered in one task (adaptive execution splits a skewed join side). The
+minima grow with the edges, so no join may broadcast them: they are merged by hint.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from tessera.llm.common import drop, written
 def _to_minimum(pairs: DataFrame) -> DataFrame:
     """Of rows (u, v): adds m, the least of u and all its v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(least.hint("merge"), "u")
 
 
 def _round(edges: DataFrame) -> DataFrame:

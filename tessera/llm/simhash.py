@@ -139,7 +139,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         "fp", F.expr("v.bit").alias("bit"), F.expr("fp & v.mask").alias("wiped")
     )
     meets = f"l.bit = r.bit AND l.wiped = r.wiped AND l.fp < r.fp AND bit_count(l.fp ^ r.fp) <= {radius} AND CASE {' '.join(first)} END"
-    return variants.alias("l").join(variants.alias("r"), F.expr(meets)).select(
+    return variants.alias("l").join(variants.hint("merge").alias("r"), F.expr(meets)).select(
         F.col("l.fp").alias("left"), F.col("r.fp").alias("right")
     )
 
@@ -215,10 +215,10 @@ def simhash_groups(
     else:
         pairs, _ = written(_similar_links(marked, docs, text_col, width, radius, least_similarity), "similar")
     labels = components(pairs, "left", "right", node, "label")
-    named = nodes.join(labels, node, "left").withColumn("label", F.coalesce("label", node))
+    named = nodes.join(labels.hint("merge"), node, "left").withColumn("label", F.coalesce("label", node))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_node = named.join(least, "label").select(node, "component_id")
-    return marked.join(by_node, node).select(column(id_col), "fp", "component_id")
+    by_node = named.join(least.hint("merge"), "label").select(node, "component_id")
+    return marked.join(by_node.hint("merge"), node).select(column(id_col), "fp", "component_id")
 
 
 def keep_one_of_each(

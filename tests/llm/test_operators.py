@@ -152,6 +152,37 @@ def test_keep_one_of_each_matches_brute_jaccard(spark):
     assert got == want and 60 < len(want) < 120
 
 
+def final_plans(spark, action) -> list[str]:
+    """The plans of all executions of an action, as they ended."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = {x.executionId() for x in each(store.executionsList())}
+    action()
+    bus.waitUntilEmpty(30_000)
+    return [x.physicalPlanDescription().split("Initial Plan")[0] for x in each(store.executionsList()) if x.executionId() not in before]
+
+
+def each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+@pytest.mark.parametrize("run", [simhash.simhash_groups])
+def test_simhash_broadcasts_nothing(spark, run):
+    """The planner, left alone, broadcast tables that grow with the input (64 variants of each fingerprint) from the driver."""
+    rng = random.Random(6)
+    words = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(20)]
+    rows = [(i, " ".join(words[i % 20] if i < 40 else ["x", *words[i % 20][1:]])) for i in range(60)]
+    plans = final_plans(spark, lambda: run(frame(spark, rows, "doc_id bigint, text string")).collect())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p or "BroadcastNestedLoopJoin" in p]
+
+
+def test_components_broadcast_nothing(spark):
+    edges = frame(spark, [(i, i // 2) for i in range(1, 50)], "a bigint, b bigint")
+    plans = final_plans(spark, lambda: components.components(edges, "a", "b").collect())
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+
+
 # --- 5: BPE --------------------------------------------------------------------
 
 
