@@ -15,6 +15,10 @@ similarity is computed from the texts. In a bucket of equal bands or equal finge
 all are first compared with the least node; pairs whose components still differ then are
 compared each. Equal texts are one node.
 
+All joins are sort-merge joins by hint: both sides grow with the input, and the planner
+underrates them (the variants by a factor of 64, work tables by their compression), so
+that it would have the driver build and broadcast them.
+
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero; fewer words than the shingle width make one shingle of the
 whole sequence; a null id keeps its row and takes the least non-null id of its
@@ -154,8 +158,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, least
     ends = pairs.select(F.col("left").alias("node")).union(pairs.select("right")).distinct()
     texts = docs.select(_node(text_col).alias("node"), F.coalesce(column(text_col), F.lit("")).alias("text")).join(ends.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     both = (
-        pairs.join(texts.select(F.col("node").alias("left"), F.col("text").alias("a")), "left")
-        .join(texts.select(F.col("node").alias("right"), F.col("text").alias("b")), "right")
+        pairs.join(texts.select(F.col("node").alias("left"), F.col("text").alias("a")).hint("merge"), "left")
+        .join(texts.select(F.col("node").alias("right"), F.col("text").alias("b")).hint("merge"), "right")
         .select("left", "right", "a", "b")
     )
 
@@ -177,25 +181,25 @@ def _similar_links(marked: DataFrame, docs: DataFrame, text_col: str, width: int
     own, _ = written(own, "nodes")
     by_fp = own.groupBy("fp").agg(F.min("node").alias("node"))
     pairs = links(by_fp.select("fp"), radius)
-    pairs = pairs.join(by_fp.select(F.col("fp").alias("left"), F.col("node").alias("a")), "left").join(by_fp.select(F.col("fp").alias("right"), F.col("node").alias("b")), "right")
+    pairs = pairs.join(by_fp.select(F.col("fp").alias("left"), F.col("node").alias("a")).hint("merge"), "left").join(by_fp.select(F.col("fp").alias("right"), F.col("node").alias("b")).hint("merge"), "right")
     # Equal fingerprints are one more band.
     keys = F.concat(F.coalesce("bands", F.array().cast("array<bigint>")), F.array(F.col("fp")))
     bands, _ = written(own.select("node", "s0", "s1", F.posexplode(keys).alias("band", "key")), "bands")
     first = F.min(F.struct("node", "s0", "s1")).alias("first")
     buckets = bands.groupBy("band", "key").agg(first, F.max("node").alias("most")).where("first.node < most").select("band", "key", "first.*")
     buckets, _ = written(buckets, "buckets")
-    stars = bands.alias("r").join(buckets.alias("l"), F.expr(f"l.band = r.band AND l.key = r.key AND l.node < r.node AND {_ALIKE}"))
+    stars = bands.alias("r").join(buckets.hint("merge").alias("l"), F.expr(f"l.band = r.band AND l.key = r.key AND l.node < r.node AND {_ALIKE}"))
     stars = stars.select(F.col("l.node").alias("left"), F.col("r.node").alias("right"))
     first, _ = written(pairs.select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right")).union(stars).distinct(), "links")
     near, _ = written(_similar(first, docs, text_col, width, least), "near")
     labels = components(near, "left", "right", "node", "label")
-    named = bands.join(buckets.select("band", "key"), ["band", "key"], "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = bands.join(buckets.select("band", "key").hint("merge"), ["band", "key"], "left_semi").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named, _ = written(named, "named")
     mixed = named.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("band", "key")
-    left, _ = written(named.join(mixed, ["band", "key"], "left_semi"), "mixed")
+    left, _ = written(named.join(mixed.hint("merge"), ["band", "key"], "left_semi"), "mixed")
     meets = f"l.band = r.band AND l.key = r.key AND l.node < r.node AND l.label <> r.label AND {_ALIKE}"
-    rest = left.alias("l").join(left.alias("r"), F.expr(meets)).select(F.col("l.node").alias("left"), F.col("r.node").alias("right")).distinct()
-    rest, _ = written(rest.join(first, ["left", "right"], "left_anti"), "rest")
+    rest = left.alias("l").join(left.hint("merge").alias("r"), F.expr(meets)).select(F.col("l.node").alias("left"), F.col("r.node").alias("right")).distinct()
+    rest, _ = written(rest.join(first.hint("merge"), ["left", "right"], "left_anti"), "rest")
     return near.union(_similar(rest, docs, text_col, width, least))
 
 
@@ -232,7 +236,7 @@ def keep_one_of_each(
     groups = simhash_groups(docs.select(column(id_col), column(text_col)), id_col, text_col, width, radius, least_similarity)
     name = fresh(docs, "gone")
     gone = groups.where(column(id_col) != F.col("component_id")).select(column(id_col).alias(name)).distinct()
-    return docs.join(gone, column(id_col) == F.col(name), "left_anti")
+    return docs.join(gone.hint("merge"), column(id_col) == F.col(name), "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

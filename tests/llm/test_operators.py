@@ -166,7 +166,7 @@ def each(seq):
     return [seq.apply(i) for i in range(seq.size())]
 
 
-@pytest.mark.parametrize("run", [simhash.simhash_groups])
+@pytest.mark.parametrize("run", [simhash.keep_one_of_each, simhash.simhash_groups])
 def test_simhash_broadcasts_nothing(spark, run):
     """The planner, left alone, broadcast tables that grow with the input (64 variants of each fingerprint) from the driver."""
     rng = random.Random(6)
