@@ -16,7 +16,8 @@ from tessera.llm.common import drop, written
 
 def _to_minimum(pairs: DataFrame) -> DataFrame:
     """Of rows (u, v): adds m, the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Grouped by a struct, the minima are dealt anew for the join: adaptive execution splits only joins of two plain exchanges.
+    least = pairs.groupBy(F.struct("u").alias("k")).agg(F.min("v").alias("m")).select("k.u", F.least("k.u", "m").alias("m"))
     return pairs.join(least.hint("merge"), "u")
 
 
