@@ -328,3 +328,10 @@ def test_repeated_cells_meet_once(spark, monkeypatch):
         same(A.broadcast_to(a, (2, 3, 4)).zip(A.broadcast_to(a, (2, 3, 4)), lambda p, q: p + q), np.broadcast_to(2 * x, (2, 3, 4)))
         same(A.array(spark, 2.0).zip(b, lambda p, q: p * q), 2 * y)
         same(products.matmul(b, A.array(spark, z)), y @ z)
+
+
+def test_average_broadcasts_no_repeated_weights(spark):
+    a = A.grid(spark, (2000, 100), F.pmod(F.col("id") * 7, F.lit(1009)).cast("double"))
+    out = reduce.average(a, A.broadcast_to(A.arange(spark, 1, 101), a.shape), 1)
+    assert _broadcast_rows(out.cells) <= A.FEW
+    same(out, np.average(np.arange(200000).reshape(2000, 100) * 7 % 1009, axis=1, weights=np.arange(1, 101)))
