@@ -122,7 +122,7 @@ on_matrix("la_qr_orthonormal", lambda m: _plus(products.matmul(products.qr_ortho
 
 def _found_lowrank(m):
     """The outer product of the row and column means, found to be of rank one and applied to the column means."""
-    rows, columns = reduce.mean(m, 1).map(lambda v: v / 1e6), reduce.mean(m, 0).map(lambda v: v / 1e6)
+    rows, columns = [A.kept(reduce.mean(m, k).map(lambda v: v / 1e6), "means") for k in (1, 0)]
     whole = products.outer(rows, columns)
     found = products.detect_lowrank(whole)
     products.certify(found, whole, columns)

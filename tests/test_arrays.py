@@ -335,3 +335,16 @@ def test_average_broadcasts_no_repeated_weights(spark):
     out = reduce.average(a, A.broadcast_to(A.arange(spark, 1, 101), a.shape), 1)
     assert _broadcast_rows(out.cells) <= A.FEW
     same(out, np.average(np.arange(200000).reshape(2000, 100) * 7 % 1009, axis=1, weights=np.arange(1, 101)))
+
+
+def test_lowrank_broadcasts_no_repeated_cells(spark):
+    both = A.grid(spark, (2000, 100), F.pmod(F.col("id") * 7, F.lit(1009)).cast("double") / 1000)
+    x = np.arange(200000).reshape(2000, 100) * 7 % 1009 / 1000
+    rows, columns = reduce.mean(both, 1), reduce.mean(both, 0)
+    whole = products.outer(rows, columns)
+    found = products.detect_lowrank(whole)
+    assert found.u.shape == (2000, 1) and found.v.shape == (100, 1)
+    assert _broadcast_rows(found.apply(columns).cells) <= A.FEW
+    assert products.certify(found, whole, columns) < 1e-9
+    same(found.apply(columns), np.outer(x.mean(1), x.mean(0)) @ x.mean(0))
+    assert products.detect_lowrank(both, most=8) is None
